@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -68,6 +68,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where lambdas inside ``body`` use it again and again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def with_rows(df: DataFrame, file_col: str = "_file", row_col: str = "_row") -> DataFrame:
     """Add two columns that name a row for good: file and row number for a file scan, else ids of a written copy."""
     try:
