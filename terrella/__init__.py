@@ -1,0 +1 @@
+"""Spatial analytics on PySpark DataFrames."""
