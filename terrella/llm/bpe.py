@@ -54,7 +54,10 @@ class ByteBPE:
         # Code points that Python's tables leave unassigned may be letters to one library and not to the other: the tokenizers library decides.
         odd = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
         edges = np.flatnonzero(np.diff(odd.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-        self.unsure = re.compile("[" + "".join(f"\\U{a:08x}-\\U{z - 1:08x}" for a, z in edges.tolist()) + "]").search
+        unsure = re.compile("[" + "".join(f"\\U{a:08x}-\\U{z - 1:08x}" for a, z in edges.tolist()) + "]").search
+        # Long-settled blocks are told first: Latin to Greek, punctuation, kana, unified ideographs, Hangul.
+        other = re.compile("[^\x00-\u0377\u2010-\u2027\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fff\uac00-\ud7a3]").search
+        self.unsure = lambda text: (found := other(text)) and unsure(text, found.start())
         self.bytes_of = {v: bytes(back[c] for c in k) for k, v in vocab.items()}
         self.digits = {v: str(v) for v in vocab.values()}
         self.known: dict[str, list[int]] = {}
