@@ -81,8 +81,8 @@ def _grown(state: Column, size: int, grow) -> Column:  # noqa: ANN001
 def hilbert_neighbours(d: Value, n: int = 256) -> Column:
     """Indexes of the up to eight cells around a cell, in order."""
     x, y = hilbert_decode(d, n)
-    around = F.array(*[hilbert(x + dx, y + dy, n) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
-    return F.array_sort(F.filter(around, lambda v: v >= 0))
+    around = lambda c: F.array(*[hilbert(c["x"] + dx, c["y"] + dy, n) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
+    return F.array_sort(F.filter(let(F.struct(x.alias("x"), y.alias("y")), around), lambda v: v >= 0))
 
 
 def lonlat_cell(value: Value, low: float, high: float, n: int) -> Column:

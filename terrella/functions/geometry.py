@@ -6,11 +6,14 @@ A point is two columns, or an array for any number of dimensions; a box is four
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Value = Column | float | str
 
@@ -190,8 +193,7 @@ def segment_point_squared(s: Column, x: Value, y: Value) -> Column:
     px, py = col(x) - s["x1"], col(y) - s["y1"]
     long = dx * dx + dy * dy
     t = F.when(long == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / F.when(long == 0, 1.0).otherwise(long))))
-    ex, ey = px - t * dx, py - t * dy
-    return ex * ex + ey * ey
+    return let(t, lambda at: (px - at * dx) * (px - at * dx) + (py - at * dy) * (py - at * dy))
 
 
 def segment_point_distance(s: Column, x: Value, y: Value) -> Column:
@@ -214,8 +216,9 @@ def segments_intersect(s: Column, t: Column) -> Column:
     """Whether two segments share a point: proper crossings by orientation, touching and collinear cases by containment."""
     a, b = _turn(s["x1"], s["y1"], s["x2"], s["y2"], t["x1"], t["y1"]), _turn(s["x1"], s["y1"], s["x2"], s["y2"], t["x2"], t["y2"])
     c, d = _turn(t["x1"], t["y1"], t["x2"], t["y2"], s["x1"], s["y1"]), _turn(t["x1"], t["y1"], t["x2"], t["y2"], s["x2"], s["y2"])
-    touch = ((a == 0) & _spans(s, t["x1"], t["y1"])) | ((b == 0) & _spans(s, t["x2"], t["y2"])) | ((c == 0) & _spans(t, s["x1"], s["y1"])) | ((d == 0) & _spans(t, s["x2"], s["y2"]))
-    return ((a * b < 0) & (c * d < 0)) | touch
+    turns = F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
+    touch = lambda v: ((v["a"] == 0) & _spans(s, t["x1"], t["y1"])) | ((v["b"] == 0) & _spans(s, t["x2"], t["y2"])) | ((v["c"] == 0) & _spans(t, s["x1"], s["y1"])) | ((v["d"] == 0) & _spans(t, s["x2"], s["y2"]))
+    return let(turns, lambda v: ((v["a"] * v["b"] < 0) & (v["c"] * v["d"] < 0)) | touch(v))
 
 
 def segments_squared(s: Column, t: Column) -> Column:
@@ -297,14 +300,19 @@ def polygon_point_distance(ring: Column, x: Value, y: Value) -> Column:
 
 
 def lines_squared(a: Column, b: Column) -> Column:
-    """Least squared distance of the edges of two coordinate lists."""
-    return let(edges_of(b), lambda other: F.array_min(F.transform(edges_of(a), lambda s: F.array_min(F.transform(other, lambda t: segments_squared(s, t))))))
+    """Least squared distance of the edges of two coordinate lists; a list of one coordinate is a point."""
+    to_point = lambda line, p: F.array_min(F.transform(edges_of(line), lambda s: segment_point_squared(s, p["x"], p["y"])))
+    full = F.array_min(F.transform(edges_of(a), lambda s: F.array_min(F.transform(edges_of(b), lambda t: segments_squared(s, t)))))
+    return F.when(F.size(b) == 1, to_point(a, b[0])).when(F.size(a) == 1, to_point(b, a[0])).otherwise(full)
+
+
+def _inside(a: Column, a_area: Column, b: Column, b_area: Column) -> Column:
+    return (a_area & polygon_covers(a, b[0]["x"], b[0]["y"])) | (b_area & polygon_covers(b, a[0]["x"], a[0]["y"]))
 
 
 def geometry_squared(a: Column, a_area: Column, b: Column, b_area: Column) -> Column:
     """Least squared distance of two shapes; ``*_area`` says whether the coordinates are a closed ring with its inside."""
-    inside = (a_area & polygon_covers(a, b[0]["x"], b[0]["y"])) | (b_area & polygon_covers(b, a[0]["x"], a[0]["y"]))
-    return F.when(inside, 0.0).otherwise(lines_squared(a, b))
+    return F.when(_inside(a, a_area, b, b_area), 0.0).otherwise(lines_squared(a, b))
 
 
 def geometry_distance(a: Column, a_area: Column, b: Column, b_area: Column) -> Column:
@@ -312,7 +320,8 @@ def geometry_distance(a: Column, a_area: Column, b: Column, b_area: Column) -> C
 
 
 def geometry_intersects(a: Column, a_area: Column, b: Column, b_area: Column) -> Column:
-    return geometry_squared(a, a_area, b, b_area) == 0
+    """Whether two shapes share a point: edges that meet, or one inside the other."""
+    return F.exists(edges_of(a), lambda s: F.exists(edges_of(b), lambda t: segments_intersect(s, t))) | _inside(a, a_area, b, b_area)
 
 
 def polygon_circle_intersects(ring: Column, c: Circle) -> Column:
@@ -363,35 +372,32 @@ def from_wkt(text: Value) -> Column:
     return F.when(F.size(pairs) > 0, parsed)
 
 
-def _little_endian(number: Column) -> Column:
-    """Eight bytes of a double, as hex with the lowest byte first, worked out from sign, exponent and fraction."""
-    size = F.abs(number)
-    raw = F.floor(F.log2(F.when(size > 0, size).otherwise(1.0))).cast("int")
-    power = raw + F.when(size < F.pow(F.lit(2.0), raw), -1).when(size >= F.pow(F.lit(2.0), raw + 1), 1).otherwise(0)
-    bits = F.when(size == 0, F.lit(0).cast("long")).otherwise(F.shiftleft((power + 1023).cast("long"), 52) + ((size / F.pow(F.lit(2.0), power) - 1) * float(1 << 52)).cast("long"))
-    whole = F.lpad(F.hex(bits), 16, "0")
-    sign = F.when(number < 0, F.conv(F.conv(F.substring(whole, 1, 1), 16, 10).cast("int") + 8, 10, 16)).otherwise(F.substring(whole, 1, 1))
-    full = F.concat(sign, F.substring(whole, 2, 15))
-    return F.concat(*[F.substring(full, 15 - 2 * i, 2) for i in range(8)])
-
-
 def to_wkb(coords: Column) -> Column:
-    """Little-endian WKB of a polygon with one ring (finite coordinates of normal size)."""
-    count = F.lpad(F.hex(F.size(coords)), 8, "0")
-    head = F.concat(*[F.substring(count, 7 - 2 * i, 2) for i in range(4)])
-    body = F.array_join(F.transform(coords, lambda c: F.concat(_little_endian(c["x"]), _little_endian(c["y"]))), "")
-    return F.unhex(F.concat(F.lit("010300000001000000"), head, body))
+    """Little-endian WKB of a polygon with one ring; packing bytes takes Arrow batches."""
 
+    def packed(rings: pd.Series) -> pd.Series:
+        out = []
+        for ring in rings:
+            flat = None if ring is None else [v for c in ring for v in (c["x"], c["y"])]
+            out.append(None if flat is None else struct.pack(f"<BIII{len(flat)}d", 1, 3, 1, len(flat) // 2, *flat))
+        return pd.Series(out, dtype=object)
 
-def from_wkb(data: Value) -> Column:
-    """Coordinates of the ring of such a WKB."""
-    text = F.hex(col(data))
+    return F.pandas_udf(packed, T.BinaryType())(coords)
 
-    def number(at: Column) -> Column:
-        big = F.concat(*[F.substring(text, at + 14 - 2 * i, F.lit(2)) for i in range(8)])
-        high, low = F.conv(F.substring(big, 1, 3), 16, 10).cast("int"), F.conv(F.substring(big, 4, 13), 16, 10).cast("double")
-        size = F.when((high % 2048 == 0) & (low == 0), 0.0).otherwise(F.pow(F.lit(2.0), high % 2048 - 1023) * (1 + low / float(1 << 52)))
-        return F.when(high >= 2048, -size).otherwise(size)
 
-    points = F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.length(text) - 26) / 32).cast("int") - 1))
-    return F.transform(points, lambda i: F.struct(number(i * 32 + 27).alias("x"), number(i * 32 + 43).alias("y")))
+def from_wkb(data: Value) -> Column:
+    """Coordinates of the ring of such a WKB, of either byte order."""
+
+    def unpacked(values: pd.Series) -> pd.Series:
+        out = []
+        for b in values:
+            if b is None:
+                out.append(None)
+                continue
+            order = "<" if b[0] else ">"
+            flat = struct.unpack_from(f"{order}{2 * struct.unpack_from(order + 'I', b, 9)[0]}d", b, 13)
+            out.append([{"x": x, "y": y} for x, y in zip(flat[::2], flat[1::2], strict=True)])
+        return pd.Series(out, dtype=object)
+
+    pair = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+    return F.pandas_udf(unpacked, T.ArrayType(pair))(col(data))

@@ -62,9 +62,7 @@ def packed(loads: DataFrame, key: str, load: float, weight: str = "n", ranges: i
     Running sums are taken within key ranges, and only the ranges' totals meet in one window.
     """
     cuts = loads.select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
-    part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + (F.col(key) > c).cast("int")
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: F.col(key) > c)) if cuts else F.lit(0)
     own = loads.withColumn("part__", part)
     totals = own.groupBy("part__").agg(F.sum(weight).alias("w__"))
     before = totals.select(F.col("part__").alias("p__"), F.coalesce(F.sum("w__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before__"))

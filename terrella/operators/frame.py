@@ -20,7 +20,7 @@ class Options:
 
     cell: float = 500.0
     partitions: int | None = None
-    storage: StorageLevel = StorageLevel.MEMORY_AND_DISK
+    storage: StorageLevel = field(default_factory=lambda: StorageLevel.MEMORY_AND_DISK)
     error_range: float = 150.0
     match_count: int = 3
     shifts: int = 2

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrella.functions.geometry import Box, coords_box, geometry_squared, squared_distance
+from terrella.functions.geometry import Box, coords_box, geometry_intersects, geometry_squared, squared_distance
 from terrella.plans.grid import SLACK, box_pairs, box_point_pairs, knn_candidates, neighbours, prefixed, valid
 
 
@@ -132,13 +132,15 @@ def range_join_apply(points: DataFrame, boxes: DataFrame, function: Callable, sc
 
 
 def shape_pairs(set1: DataFrame, set2: DataFrame, by: float = 0.0) -> DataFrame:
-    """Pairs of shapes (payload, coords, area) whose bounds meet when set1's are grown by ``by``, with squared distance ``d2``."""
+    """Pairs of shapes (payload, coords, area) whose bounds meet when set1's are grown by ``by``."""
     a, b = prefixed(set1, "l_"), prefixed(set2, "r_")
     bounds = lambda df, p, grow: df.withColumns(dict(zip([f"{p}x1", f"{p}y1", f"{p}x2", f"{p}y2"], coords_box(F.col(f"{p}coords"), grow), strict=True)))
     box = lambda p: Box.of(f"{p}x1", f"{p}y1", f"{p}x2", f"{p}y2")
     pairs = box_pairs(bounds(a, "l_", by), box("l_"), bounds(b, "r_", 0.0), box("r_"))
-    pairs = pairs.drop(*[f"{p}{c}" for p in ("l_", "r_") for c in ("x1", "y1", "x2", "y2")])
-    return pairs.withColumn("d2", geometry_squared(F.col("l_coords"), F.col("l_area"), F.col("r_coords"), F.col("r_area")))
+    return pairs.drop(*[f"{p}{c}" for p in ("l_", "r_") for c in ("x1", "y1", "x2", "y2")])
+
+
+_SHAPES = ("l_coords", "l_area", "r_coords", "r_area")
 
 
 def _matches(set2: DataFrame, near: DataFrame) -> DataFrame:
@@ -150,14 +152,14 @@ def _matches(set2: DataFrame, near: DataFrame) -> DataFrame:
 
 def match_range(set1: DataFrame, set2: DataFrame) -> DataFrame:
     """Every set2 shape with ``matches``: the set1 shapes that intersect it, by payload. Payloads name shapes."""
-    hit = shape_pairs(set1, set2).where("d2 = 0").select("l_payload", "r_payload").distinct()
+    hit = shape_pairs(set1, set2).where(geometry_intersects(*map(F.col, _SHAPES))).select("l_payload", "r_payload").distinct()
     return _matches(set2, hit.withColumns({"distance": F.lit(0.0), "rank": F.row_number().over(Window.partitionBy("r_payload").orderBy("l_payload"))}))
 
 
 def match_knn(set1: DataFrame, set2: DataFrame, k: int = 3, error_range: float = 150.0, max_distance: float | None = None) -> DataFrame:
     """Every set2 shape with ``matches``: its k nearest set1 shapes among those whose bounds, grown by ``error_range``, meet its own; by distance, then payload."""
     _positive(k)
-    near = shape_pairs(set1, set2, error_range).groupBy("r_payload", "l_payload").agg(F.min("d2").alias("d2"))
+    near = shape_pairs(set1, set2, error_range).withColumn("d2", geometry_squared(*map(F.col, _SHAPES))).groupBy("r_payload", "l_payload").agg(F.min("d2").alias("d2"))
     if max_distance is not None:
         near = near.where(F.col("d2") <= max_distance * max_distance)
     order = Window.partitionBy("r_payload").orderBy("d2", "l_payload")
@@ -188,9 +190,7 @@ def zknn_join(left: DataFrame, right: DataFrame, k: int, shifts: int = 2, seed:
         z = lambda x, y, ox=ox, oy=oy: morton(F.floor((F.col(x) - e[0] + ox) / (2 * size) * ((1 << bits) - 1)), F.floor((F.col(y) - e[2] + oy) / (2 * size) * ((1 << bits) - 1)), bits)
         both = l.select(F.struct(*l.columns).alias("l"), F.lit(None).cast(r.select(F.struct(*r.columns).alias("s")).schema["s"].dataType).alias("r"), z("l_x", "l_y").alias("z")).unionByName(r.select(F.lit(None).cast(l.select(F.struct(*l.columns).alias("s")).schema["s"].dataType).alias("l"), F.struct(*r.columns).alias("r"), z("r_x", "r_y").alias("z")))
         cuts = both.where("r is not null").select(F.percentile_approx("z", [i / 16 for i in range(1, 16)], 1000)).first()[0] or []
-        part = F.lit(0)
-        for c in sorted(set(cuts)):
-            part = part + (F.col("z") > c).cast("int")
+        part = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]), lambda c: F.col("z") > c)) if cuts else F.lit(0)
         parted = both.withColumn("part", part)
         edge = parted.where("r is not null")
         first = edge.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("z"))).where(F.col("i") <= k).withColumn("part", F.col("part") - 1).drop("i")
