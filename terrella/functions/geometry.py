@@ -187,12 +187,14 @@ def segment(x1: Value, y1: Value, x2: Value, y2: Value) -> Column:
     return F.struct(*[col(v).cast("double").alias(n) for n, v in (("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2))])
 
 
-def segment_point_squared(s: Column, x: Value, y: Value) -> Column:
-    """Squared distance from a segment: to the foot of the perpendicular, held within the segment."""
+def segment_point_squared(s: Column, x: Value, y: Value, compiled: bool = False) -> Column:
+    """Squared distance from a segment: to the foot of the perpendicular, held within the segment. ``compiled`` suits rows, the other form lambdas."""
     dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
     px, py = col(x) - s["x1"], col(y) - s["y1"]
     long = dx * dx + dy * dy
     t = F.when(long == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / F.when(long == 0, 1.0).otherwise(long))))
+    if compiled:
+        return (px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy)
     return let(t, lambda at: (px - at * dx) * (px - at * dx) + (py - at * dy) * (py - at * dy))
 
 
@@ -315,6 +317,12 @@ def geometry_squared(a: Column, a_area: Column, b: Column, b_area: Column) -> Co
     return F.when(_inside(a, a_area, b, b_area), 0.0).otherwise(lines_squared(a, b))
 
 
+def edge_squared(edge: Column, a: Column, a_area: Column, b: Column, b_area: Column) -> Column:
+    """Squared distance of one edge of shape a to shape b; the least over all edges is ``geometry_squared``."""
+    apart = F.when(F.size(b) == 1, segment_point_squared(edge, b[0]["x"], b[0]["y"], compiled=True)).otherwise(F.array_min(F.transform(edges_of(b), lambda t: segments_squared(edge, t))))
+    return F.when(_inside(a, a_area, b, b_area), 0.0).otherwise(apart)
+
+
 def geometry_distance(a: Column, a_area: Column, b: Column, b_area: Column) -> Column:
     return F.sqrt(geometry_squared(a, a_area, b, b_area))
 

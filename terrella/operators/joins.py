@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrella.functions.geometry import Box, coords_box, geometry_intersects, geometry_squared, squared_distance
+from terrella.functions.geometry import Box, coords_box, edge_squared, edges_of, geometry_intersects, squared_distance
 from terrella.plans.grid import SLACK, box_pairs, box_point_pairs, knn_candidates, neighbours, prefixed, valid
 
 
@@ -159,7 +159,8 @@ def match_range(set1: DataFrame, set2: DataFrame) -> DataFrame:
 def match_knn(set1: DataFrame, set2: DataFrame, k: int = 3, error_range: float = 150.0, max_distance: float | None = None) -> DataFrame:
     """Every set2 shape with ``matches``: its k nearest set1 shapes among those whose bounds, grown by ``error_range``, meet its own; by distance, then payload."""
     _positive(k)
-    near = shape_pairs(set1, set2, error_range).withColumn("d2", geometry_squared(*map(F.col, _SHAPES))).groupBy("r_payload", "l_payload").agg(F.min("d2").alias("d2"))
+    edges = shape_pairs(set1, set2, error_range).withColumn("edge", F.explode(edges_of(F.col("l_coords"))))
+    near = edges.withColumn("d2", edge_squared(F.col("edge"), *map(F.col, _SHAPES))).groupBy("r_payload", "l_payload").agg(F.min("d2").alias("d2"))
     if max_distance is not None:
         near = near.where(F.col("d2") <= max_distance * max_distance)
     order = Window.partitionBy("r_payload").orderBy("d2", "l_payload")
