@@ -4,12 +4,13 @@ A source's rows form blocks. Block k of a source of weight w, of W in all, is re
 and due at ceil((k + 1) W / w); one block is placed in each slot, earliest deadline first, so a source is
 never a whole block away from its share. Integer weights make the schedule repeat every W slots: the
 pattern of a period is found once and the blocks take their slots from it. When a source has less than a
-period's blocks left, one period with what is left ends its phase, and the others go on with their own weights.
+period's blocks left, the period is cut where it runs out, and the others go on with their own weights.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from terrella.llm.store import numbered, save, ship, small
 
 #: Sources whose totals and weights the driver holds.
-MAX_SOURCES = 5_000
+MAX_SOURCES = 1_000
 
 
 def pfair(weights: Sequence[int]) -> list[tuple[int, int, int, int, int]]:
@@ -50,22 +51,31 @@ def integer_weights(weights: Mapping[str | None, float], denominator: int = 1_00
 
 
 def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, int]) -> list[dict]:
-    """Phases of the schedule: first slot, periods, and for each active source its first block and its blocks in a period."""
+    """Phases of the schedule: first slot, periods, slots of a period and how many of them count, and for each active source its first block and its blocks in a period.
+
+    Whole periods go on while every source can fill its part; then one period is cut where the first source runs out.
+    """
     left, begun, out, slot = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), [], 0
     while left:
-        full = min(n // weights[s] for s, n in left.items())
-        for periods, share in ((full, {s: weights[s] for s in left}), (1, None)):
-            if share is None:
-                share = {s: min(weights[s], n) for s, n in left.items()}
-            if not periods or not share:
-                continue
-            width = sum(share.values())
-            out.append({"slot": slot, "periods": periods, "width": width, "first": {s: begun[s] for s in share}, "share": share})
-            slot += periods * width
-            for s, w in share.items():
-                begun[s] += periods * w
-                left[s] -= periods * w
-            left = {s: n for s, n in left.items() if n}
+        common = math.gcd(*[weights[s] for s in left])
+        share = {s: weights[s] // common for s in left}
+        width = sum(share.values())
+        periods = min(n // share[s] for s, n in left.items())
+        if periods:
+            cut, used = width, {s: periods * w for s, w in share.items()}
+        else:
+            names, used, cut = list(share), dict.fromkeys(share, 0), 0
+            for i, *_ in pfair(list(share.values())):
+                used[names[i]] += 1
+                cut += 1
+                if used[names[i]] == left[names[i]]:
+                    break
+        out.append({"slot": slot, "periods": max(1, periods), "width": width, "cut": cut, "first": {s: begun[s] for s in share}, "share": share})
+        slot += max(1, periods) * cut
+        for s, n in used.items():
+            begun[s] += n
+            left[s] -= n
+        left = {s: n for s, n in left.items() if n}
     return out
 
 
@@ -93,13 +103,13 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
     chosen = integer_weights(own, max(1_000, 2 * len(own))) if own else {}
     plan = phases({s: -(-n // block_rows) for s, n in totals.items()}, chosen)
     names = list(totals)
-    table = [(i, p["slot"], p["periods"], p["width"], [names.index(s) for s in p["share"]], list(p["share"].values()), list(p["first"].values())) for i, p in enumerate(plan)]
-    schedule = spark.createDataFrame(table, "phase int, base long, periods long, width long, who array<int>, share array<int>, first array<long>").repartition(max(1, len(table)))
+    table = [(i, p["slot"], p["periods"], p["width"], p["cut"], [names.index(s) for s in p["share"]], list(p["share"].values()), list(p["first"].values())) for i, p in enumerate(plan)]
+    schedule = spark.createDataFrame(table, "phase int, base long, periods long, width long, cut int, who array<int>, share array<int>, first array<long>").repartition(max(1, len(table)))
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in batch.to_pylist():
-                got = pfair(p["share"])
+                got = pfair(p["share"])[: p["cut"]]
                 columns = {"who": [p["who"][i] for i, *_ in got], "share": [p["share"][i] for i, *_ in got], "first": [p["first"][i] + k for i, k, *_ in got], "at": [p["base"] + s for _, _, s, _, _ in got], "rel": [p["base"] + r for *_, r, _ in got], "due": [p["base"] + d for *_, d in got], "periods": [p["periods"]] * len(got), "width": [p["width"]] * len(got)}
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in ("who", "share") else pa.int64()) for k, v in columns.items()], names=list(columns))
 
