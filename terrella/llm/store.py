@@ -19,6 +19,7 @@ BROADCAST_BYTES = 16 << 20
 
 
 _shipped: set[str] = set()
+_own_dirs: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,9 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not (conf.get("spark.master", "") or "").startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="terrella-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    return _own_dirs.get(application) or _own_dir(application)
+
+
+def _own_dir(application: str) -> str:
+    folder = tempfile.mkdtemp(prefix="terrella-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    _own_dirs[application] = f"file://{folder}"
+    return _own_dirs[application]
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
