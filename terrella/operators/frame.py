@@ -147,7 +147,7 @@ class IndexRegistry:
             self.drop(name)
 
     def persist(self, name: str, path: str) -> None:
-        """Write an index as Parquet, split into coarse cells for pruning, with its description."""
+        """Write an index as Parquet, in its clustered order so that row groups can be skipped, with its description."""
         index = self.indexes[name]
         index.df.write.mode("overwrite").parquet(f"{path}/rows")
         about = json.dumps({"name": name, "kind": index.kind, "columns": index.columns, "table": index.table})
