@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from terrella.llm.store import ship
 
-#: Pieces that one worker remembers.
+#: Pieces that one worker remembers during a task.
 CACHE = 250_000
 
 
@@ -137,5 +137,6 @@ def bpe(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: Se
                         got[o].append(OUTPUTS[o][1](own, ids))
                 fields = [*list(batch.schema)[:-1], *[pa.field(o, arrow[o]) for o in outputs]]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(got[o], arrow[o]) for o in outputs]], schema=pa.schema(fields))
+        loaded(path, pattern).known.clear()  # an idle worker keeps the model but not the pieces of its last task
 
     return chosen.mapInArrow(run, schema)
