@@ -16,39 +16,44 @@ from terrella.llm.mixing import mix
 from terrella.llm.near_dedup import dropped, near_dedup
 from terrella.llm.quality_rules import quality_rules
 from terrella.llm.queries import RANKS
-from terrella.llm.store import save, small, with_rows
+from terrella.llm.store import fresh, save, small, with_rows
 
-_KEY = ["_file", "_row"]
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows with two columns that name a row, and the names of these columns, which no column of the table has."""
+    key = fresh(docs, "_file", "_row")
+    return with_rows(docs, *key), key
 
-def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+
+def _without(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     """The rows whose key is not in ``gone``, which is broadcast only if counted and small."""
-    return rows.join(small(save(gone, "gone"), 32), _KEY, "left_anti").select(*columns)
+    return rows.join(small(save(gone, "gone"), 32), key, "left_anti").drop(*key)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    rows = with_rows(docs, *_KEY)
-    return _without(rows, quality_rules(rows, carry=_KEY).where("not kept").select(*_KEY), docs.columns)
+    rows, key = _keyed(docs)
+    return _without(rows, quality_rules(rows, carry=key).where("not kept").select(*key), key)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
-    rows = with_rows(docs, *_KEY)
-    return _without(rows, exact_dedup(rows, carry=_KEY).where("not kept").select(*_KEY), docs.columns)
+    rows, key = _keyed(docs)
+    return _without(rows, exact_dedup(rows, carry=key).where("not kept").select(*key), key)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked fingerprints one document stays."""
-    rows = with_rows(docs, *_KEY)
-    return _without(rows, dropped(save(near_dedup(rows, carry=_KEY), "near"), "doc_id", _KEY), docs.columns)
+    rows, key = _keyed(docs)
+    return _without(rows, dropped(save(near_dedup(rows, carry=key), "near"), "doc_id", key), key)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: sorted ranges of positions become the files that a loader reads in turn."""
-    rows = with_rows(docs, *_KEY)
-    placed = save(mix(rows, keep=_KEY).select(*_KEY, "position"), "placed")
-    return rows.join(placed, _KEY).repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    rows, key = _keyed(docs)
+    (at,) = fresh(rows, "_position")
+    placed = save(mix(rows, keep=key).select(*key, F.col("position").alias(at)), "placed")
+    return rows.join(placed, key).repartitionByRange(at).sortWithinPartitions(at).drop(*key, at)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
