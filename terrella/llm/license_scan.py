@@ -87,8 +87,7 @@ def license_scan(df: DataFrame, templates: DataFrame, id_col: str = "doc_id", te
     ``templates`` holds ``label`` and ``text``. ``score`` is 1 where a phrase stands, else the best containment, else 0. Null and empty texts have no words; repeated rows are scanned
     alike; an empty table gives an empty result; other columns are ignored, whatever their names. Templates and matches are broadcast only behind a check of their size.
     """
-    rows = with_rows(df, "file__", "row__")
-    rows = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "file__", "row__")
+    rows = with_rows(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "file__", "row__")
     prefixes = ordered_templates(rows, templates, threshold)
     tiny = prefixes.count() * 1024 <= BROADCAST_BYTES
     held = F.broadcast(prefixes) if tiny else prefixes

@@ -76,7 +76,7 @@ def labelled_samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = F.regexp_replace(F.base64(digest), "[+/=]", "")
     made = df.sparkSession.range(strings).select(F.explode(F.array(F.substring(F.lower(F.hex(digest)), 1, 40), F.base64(digest), F.upper(plain))).alias("text"), F.lit(True).alias("secret"))
     some = F.broadcast(df.select(F.col(id_col).alias("some__")).distinct().orderBy(F.xxhash64("some__"), "some__").limit(docs))
-    words = df.join(some, F.col(id_col) == F.col("some__"), "left_semi").select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z0-9_-]{3,}"), F.lit(0))).alias("text"))
+    words = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some, F.col("id") == F.col("some__"), "left_semi").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_-]{3,}"), F.lit(0))).alias("text"))
     return made.unionByName(words.where("length(text) < 20").withColumn("secret", F.lit(False)))
 
 
