@@ -1,10 +1,12 @@
 """License scans: fixed phrases and an exact set-similarity join of text blocks with license templates.
 
-A block (a sentence or line) matches a template if it holds at least ``threshold`` of the template's
-distinct words. Words are ordered by their frequency in the whole corpus, rarest first. A template's
-prefix is so long that a matching block must hold one of its words, so blocks meet templates by an equi-join on prefix
-words only; a block that is too short, or whose first common word comes too late in the template for
-enough words to follow, is left out before the words are compared.
+A block matches a template if it holds at least ``threshold`` of the template's distinct words. Blocks are
+the sentences of each line, and, so that notices wrapped over lines are found, all windows of consecutive words
+of a paragraph; a window is as long as the template's words divided by ``threshold``. Words are ordered by their
+frequency in the whole corpus, rarest first. A template's prefix is so long that a matching block must hold one of
+its words, so blocks and paragraphs meet templates by an equi-join on prefix words only, and those that are too short
+are left out before the words are compared. The prefix ends where too few words follow for a match, so a
+positional filter on the template's side is implied by it. Windows are formed only in paragraphs that as a whole hold enough of the template's words.
 """
 
 from __future__ import annotations
@@ -71,16 +73,22 @@ def _all(conditions: Sequence[Column]) -> Column:
 
 
 def ordered_templates(corpus: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
-    """``template``, ``label``, ``need`` (words that a match must hold), ``tokens`` (rarest first) and the pairs ``token``, ``place`` of its prefix."""
-    own = templates.select(F.xxhash64("label", "text").alias("template"), "label", F.explode(F.array_distinct(words_of(lowered(F.col("text"))))).alias("token"))
+    """``template``, ``label``, ``need`` (words that a match must hold), ``width`` (words of a window), ``tokens`` (rarest first) and the pairs ``token``, ``place`` of its prefix."""
+    own = templates.select(F.xxhash64("label", "text").alias("template"), "label", F.ceil(F.size(words_of(lowered(F.col("text")))) / F.lit(threshold) - F.lit(1e-9)).cast("int").alias("width"), F.explode(F.array_distinct(words_of(lowered(F.col("text"))))).alias("token"))
     own = save(own, "templates")
     vocabulary = own.select("token").distinct()
     counts = corpus.select(F.explode(F.array_distinct(words_of(lowered(F.coalesce("text", F.lit("")))))).alias("token")).join(F.broadcast(vocabulary) if own.count() * 64 <= BROADCAST_BYTES else vocabulary, "token", "left_semi").groupBy("token").count()
-    ranked = own.join(counts, "token", "left").groupBy("template", "label").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))).alias("pairs"))
-    ranked = ranked.select("template", "label", F.transform("pairs", lambda p: p["token"]).alias("tokens")).withColumn("need", F.ceil(F.size("tokens") * F.lit(threshold) - F.lit(1e-9)).cast("int"))
+    ranked = own.join(counts, "token", "left").groupBy("template", "label", "width").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))).alias("pairs"))
+    ranked = ranked.select("template", "label", "width", F.transform("pairs", lambda p: p["token"]).alias("tokens")).withColumn("need", F.ceil(F.size("tokens") * F.lit(threshold) - F.lit(1e-9)).cast("int"))
     return save(ranked.select("*", F.posexplode(F.expr("slice(tokens, 1, size(tokens) - need + 1)")).alias("place", "token")), "prefixes")
 
 
+def _best_window() -> Column:
+    """Most distinct ``tokens`` in any ``width`` consecutive ``words``; some best window begins with a token."""
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains("tokens", F.element_at("words", i)))
+    return F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect("tokens", F.slice("words", i, F.col("width"))))))
+
+
 def license_scan(df: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: Mapping[str, str] = PHRASES, threshold: float = 0.8) -> DataFrame:
     """One row per input row: id, ``n_words``, ``places`` (start and label of each phrase), ``matches`` (label and containment of each template found), ``score``.
 
@@ -93,12 +101,17 @@ def license_scan(df: DataFrame, templates: DataFrame, id_col: str = "doc_id", te
     held = F.broadcast(prefixes) if tiny else prefixes
     rare = [r["token"] for r in prefixes.select("token").distinct().limit(513).collect()]
     worth = F.col("text").rlike("(?i)(?:^|" + _GAP + ")(?:" + "|".join(sorted(rare)) + ")(?:$|" + _GAP + ")") if len(rare) <= 512 else F.lit(True)
-    blocks = rows.where(worth).select("file__", "row__", F.explode(F.split(lowered(F.col("text")), r"\n+|[.!?;][\x20\t]+")).alias("block"))
+    lines, paragraphs = F.split(F.col("low"), r"\n+|[.!?;][\x20\t]+"), F.split(F.col("low"), r"\n[\x20\t\r]*\n\s*")
+    cut = F.filter(paragraphs, lambda p: p.rlike(r"\n|[.!?;][\x20\t]"))
+    pieces = F.concat(F.transform(lines, lambda b: F.struct(F.lit(False).alias("wrapped"), b.alias("block"))), F.transform(cut, lambda p: F.struct(F.lit(True).alias("wrapped"), p.alias("block"))))
+    blocks = rows.where(worth).select("file__", "row__", lowered(F.col("text")).alias("low")).select("file__", "row__", F.inline(pieces))
     if len(rare) <= 512:
         blocks = blocks.where(F.col("block").rlike("(?:^|" + _GAP + ")(?:" + "|".join(sorted(rare)) + ")(?:$|" + _GAP + ")"))
-    sets = blocks.select("file__", "row__", F.array_distinct(words_of(F.col("block"))).alias("own"))
-    pairs = sets.select("*", F.explode("own").alias("token")).join(held, "token")
-    near = pairs.where("size(own) >= need and size(tokens) - place >= need").select("file__", "row__", "label", (F.size(F.array_intersect("tokens", "own")) / F.size("tokens")).alias("part"), F.size(F.array_intersect("tokens", "own")).alias("common"), "need")
+    sets = blocks.select("file__", "row__", "wrapped", words_of(F.col("block")).alias("words")).withColumn("own", F.array_distinct("words"))
+    first = F.array_intersect("own", F.array(*[F.lit(w) for w in sorted(rare)])) if rare and len(rare) <= 512 else F.col("own")  # a row for each prefix word only
+    pairs = sets.select("*", F.explode(first).alias("token")).join(held, "token")
+    both = pairs.where("size(own) >= need").withColumn("both", F.array_intersect("tokens", "own"))
+    near = both.where("size(both) >= need and both[0] = token").select("file__", "row__", "label", "tokens", "need", F.when(F.col("wrapped"), _best_window()).otherwise(F.size("both")).alias("common")).withColumn("part", F.col("common") / F.size("tokens"))
     found = save(near.where("common >= need").groupBy("file__", "row__", "label").agg(F.max("part").alias("part")), "matches")
     matched = found.groupBy("file__", "row__").agg(F.array_sort(F.collect_list(F.struct("label", "part"))).alias("matches"))
     matched = F.broadcast(matched) if found.count() * 128 <= BROADCAST_BYTES else matched
