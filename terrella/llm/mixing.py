@@ -1,17 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's rows form blocks. Block k of a source of weight w, of W in all, is released at floor(k W / w)
-and due at ceil((k + 1) W / w); one block is placed in each slot, earliest deadline first, so a source is
-never a whole block away from its share. Integer weights make the schedule repeat every W slots: the
-pattern of a period is found once and the blocks take their slots from it. When a source has less than a
-period's blocks left, the period is cut where it runs out, and the others go on with their own weights.
+A source's rows form blocks. In the ideal mixture all sources that have blocks left flow at once, each in proportion
+to its weight. A block is released in the slot in which its flow begins and due by the end of the slot in which it ends;
+one block is placed in each slot, earliest deadline first, so a source is never a whole block away from its share.
+Weights are taken as the exact fractions that floats are. Where a source runs out, the flow of the others rises: with
+sources in the order in which they run out, the ideal slots passed until a block's end are a sum over the sources that are gone
+and a product over those that go on.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,41 +46,45 @@ def pfair(weights: Sequence[int]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def integer_weights(weights: Mapping[str | None, float], denominator: int = 1_000) -> dict[str | None, int]:
-    """Weights as integers of about ``denominator`` in all, each at least 1."""
-    total = sum(weights.values())
-    if not weights or min(weights.values()) <= 0:
-        raise ValueError("weights must be positive")
-    return {s: max(1, round(w * denominator / total)) for s, w in weights.items()}
-
+def schedule(blocks: Sequence[int], weights: Sequence[float]) -> Iterator[tuple[int, int, int, int, int]]:
+    """``(task, block, slot, release, deadline)`` of every slot, for tasks of so many blocks with positive weights. Holds a few numbers for each task."""
+    ratios = [float(w).as_integer_ratio() for w in weights]
+    scale = max((d for _, d in ratios), default=1)
+    exact = [n * (scale // d) for n, d in ratios]  # all d are powers of two
+    order = sorted((i for i, n in enumerate(blocks) if n), key=lambda i: (blocks[i] / exact[i], Fraction(blocks[i], exact[i])))
+    ends = [blocks[i] / exact[i] for i in order]
+    gone = [0, *accumulate(blocks[i] for i in order)]
+    total = sum(exact[i] for i in order)
+    live = [total, *(total - w for w in accumulate(exact[i] for i in order))]
+
+    def passed(i: int, k: int) -> int:
+        """Slots until k blocks of the task have flowed, times its weight."""
+        m = bisect_left(ends, k / exact[i])
+        while m < len(order) and blocks[order[m]] * exact[i] < k * exact[order[m]]:
+            m += 1
+        return gone[m] * exact[i] + live[m] * k
+
+    ready = [(-(-passed(i, 1) // exact[i]), i, 0, 0) for i in order]
+    heapq.heapify(ready)
+    waiting: list[tuple[int, int, int]] = []
+    for slot in range(gone[-1]):
+        while waiting and waiting[0][0] <= slot:
+            release, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-passed(i, k + 1) // exact[i]), i, k, release))
+        deadline, i, k, release = heapq.heappop(ready)
+        yield i, k, slot, release, deadline
+        if k + 1 < blocks[i]:
+            heapq.heappush(waiting, (passed(i, k + 1) // exact[i], i, k + 1))
 
-def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, int]) -> list[dict]:
-    """Phases of the schedule: first slot, periods, slots of a period and how many of them count, and for each active source its first block and its blocks in a period.
 
-    Whole periods go on while every source can fill its part; then one period is cut where the first source runs out.
-    """
-    left, begun, out, slot = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), [], 0
-    while left:
-        common = math.gcd(*[weights[s] for s in left])
-        share = {s: weights[s] // common for s in left}
-        width = sum(share.values())
-        periods = min(n // share[s] for s, n in left.items())
-        if periods:
-            cut, used = width, {s: periods * w for s, w in share.items()}
-        else:
-            names, used, cut = list(share), dict.fromkeys(share, 0), 0
-            for i, *_ in pfair(list(share.values())):
-                used[names[i]] += 1
-                cut += 1
-                if used[names[i]] == left[names[i]]:
-                    break
-        out.append({"slot": slot, "periods": max(1, periods), "width": width, "cut": cut, "first": {s: begun[s] for s in share}, "share": share})
-        slot += max(1, periods) * cut
-        for s, n in used.items():
-            begun[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-    return out
+def targets(totals: Mapping[str | None, int], weights: Mapping[str | None, float] | None, temperature: float) -> dict[str | None, float]:
+    """The weight of each source; those that ``weights`` leaves out share as much as the given have."""
+    own = {s: n**temperature for s, n in totals.items()}
+    if not weights:
+        return own
+    given = math.fsum(w for s, w in weights.items() if s in totals) or 1.0
+    rest = math.fsum(v for s, v in own.items() if s not in weights) or 1.0
+    return {s: weights[s] if s in weights else own[s] * given / rest for s in totals}
 
 
 def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source_col: str = "source", keep: Sequence[str] = ("doc_id",), block_rows: int = 32, temperature: float = 0.5) -> DataFrame:
@@ -85,43 +93,37 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
     ``position`` orders the mixture, gapless from 0. ``weights`` gives each source its target; sources that it leaves out (all, by default)
     get their row count to the power ``temperature``, scaled to the same total. A null source is a source of its own. Null ids and repeated
     rows are placed like any other; an empty table gives an empty result; other columns are ignored. The
-    order within a source follows a hash of the ``keep`` columns. Rows of a hot source are numbered by many tasks. The
-    driver holds one row for each source, ``MAX_SOURCES`` at most (more raise ValueError).
+    order within a source follows a hash of the ``keep`` columns. Rows of a hot source are numbered by many tasks. One
+    task walks through the slots, of ``block_rows`` rows each; it holds a few numbers for each source and gives its blocks out as it goes.
+    Sources over ``MAX_SOURCES`` raise ValueError.
     """
     spark = df.sparkSession
     ship(spark)
     rows = save(df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(source_col).cast("string").alias("source"), F.monotonically_increasing_id().alias("tie")), "mixed")
-    counts = rows.groupBy("source").count()
-    totals = {r["source"]: r["count"] for r in counts.limit(MAX_SOURCES + 1).collect()}
-    if len(totals) > MAX_SOURCES:
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))
+    sources = save(rows.groupBy("source").count(), "sources")
+    total, longest, n_sources = sources.agg(F.sum("count"), F.max(F.octet_length("source")), F.count("*")).first()
+    if n_sources > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
-    own = {s: n**temperature for s, n in totals.items()}
-    if weights:
-        given = sum(w for s, w in weights.items() if s in totals) or 1.0
-        rest = sum(v for s, v in own.items() if s not in weights) or 1.0
-        own = {s: weights[s] if s in weights else own[s] * given / rest for s in totals}
-    chosen = integer_weights(own, max(1_000, 2 * len(own))) if own else {}
-    plan = phases({s: -(-n // block_rows) for s, n in totals.items()}, chosen)
-    names = list(totals)
-    table = [(i, p["slot"], p["periods"], p["width"], p["cut"], [names.index(s) for s in p["share"]], list(p["share"].values()), list(p["first"].values())) for i, p in enumerate(plan)]
-    schedule = spark.createDataFrame(table, "phase int, base long, periods long, width long, cut int, who array<int>, share array<int>, first array<long>").repartition(max(1, len(table)))
-
-    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in batch.to_pylist():
-                got = pfair(p["share"])[: p["cut"]]
-                columns = {"who": [p["who"][i] for i, *_ in got], "share": [p["share"][i] for i, *_ in got], "first": [p["first"][i] + k for i, k, *_ in got], "at": [p["base"] + s for _, _, s, _, _ in got], "rel": [p["base"] + r for *_, r, _ in got], "due": [p["base"] + d for *_, d in got], "periods": [p["periods"]] * len(got), "width": [p["width"]] * len(got)}
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in ("who", "share") else pa.int64()) for k, v in columns.items()], names=list(columns))
-
-    pattern = schedule.mapInArrow(patterns, "who int, share int, first long, at long, rel long, due long, periods long, width long")
-    blocks = save(pattern.withColumn("p", F.explode(F.expr("sequence(0L, periods - 1)"))).selectExpr("who", "first + p * share as block", "at + p * width as slot", "rel + p * width as release", "due + p * width as deadline"), "blocks")
-    ends = [(i, (totals[s] - 1) // block_rows, block_rows - 1 - (totals[s] - 1) % block_rows) for i, s in enumerate(names) if totals[s] % block_rows]
-    short = blocks.join(F.broadcast(spark.createDataFrame(ends, "who int, block long, gap long")), ["who", "block"]).select("slot", "gap").orderBy("slot").collect() if ends else []
-    gaps = F.array(*[F.struct(F.lit(r["slot"]).cast("long").alias("slot"), F.lit(r["gap"]).cast("long").alias("gap")) for r in short]) if short else None
-    begin = F.col("slot") * block_rows
-    blocks = blocks.withColumn("begin", begin if gaps is None else begin - F.aggregate(F.filter(gaps, lambda g: g["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, g: a + g["gap"]))
-    ids = F.create_map(*[x for i, s in enumerate(names) for x in (F.lit("s" + s if s is not None else "-"), F.lit(i))]) if names else F.create_map(F.lit("-"), F.lit(0))
-    placed = numbered(rows, ["source"], [F.xxhash64(*[f"k{i}" for i in range(len(keep))]), F.col("tie")], "rank", sum(totals.values()))
-    placed = placed.withColumns({"who": ids[F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("s"), "source"))], "block": F.expr(f"rank div {block_rows}"), "inner": F.expr(f"rank % {block_rows}")})
-    joined = placed.join(small(blocks, 48), ["who", "block"])
+    bad = [s for s, w in (weights or {}).items() if not 0 < w < math.inf]
+    if bad and sources.where(key.isin(["-" if s is None else "s" + s for s in bad])).head(1):
+        raise ValueError("weights must be positive")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(((r["source"], r["count"]) for b in batches for r in b.to_pylist()), key=lambda r: (r[0] is not None, r[0] or ""))
+        totals, names = dict(found), ["-" if s is None else "s" + s for s, _ in found]
+        chosen = targets(totals, weights, temperature)
+        sizes, begin = [n for _, n in found], 0
+        slots = schedule([-(-n // block_rows) for n in sizes], [chosen[s] for s, _ in found])
+        while part := list(islice(slots, 10_000)):
+            lengths = [min(block_rows, sizes[i] - k * block_rows) for i, k, *_ in part]
+            begins = list(accumulate(lengths, initial=begin))
+            begin = begins.pop()
+            columns = {"who": pa.array([names[p[0]] for p in part], pa.string())} | {n: pa.array([p[j] for p in part], pa.int64()) for j, n in enumerate(("block", "slot", "release", "deadline"), 1)} | {"begin": pa.array(begins, pa.int64())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    blocks = save(sources.repartition(1).mapInArrow(place, "who string, block long, slot long, release long, deadline long, begin long"), "blocks")
+    placed = numbered(rows, ["source"], [F.xxhash64(*[f"k{i}" for i in range(len(keep))]), F.col("tie")], "rank", total or 0)
+    placed = placed.withColumns({"who": key, "block": F.expr(f"rank div {block_rows}"), "inner": F.expr(f"rank % {block_rows}")})
+    joined = placed.join(small(blocks, 64 + (longest or 0)), ["who", "block"])
     return joined.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *([] if "source" in keep else ["source"]), "block", "release", "deadline", "slot", (F.col("begin") + F.col("inner")).alias("position"))

@@ -1,6 +1,11 @@
 """Jobs that were once cut short: wrapped notices, exact targets, many sources, long source names."""
 
+import random
+from collections import Counter
+from fractions import Fraction
+
 from terrella.llm import license_scan as L
+from terrella.llm import mixing as M
 
 BSD = """/*
  * Redistribution and use in source and binary forms, with or without
@@ -22,3 +27,41 @@ def test_wrapped_notices(spark):
     templates = spark.createDataFrame(list(L.TEMPLATES), "label string, text string")
     got = {r.doc_id: (r.labels, r.score) for r in L.digest(L.license_scan(df, templates)).collect()}
     assert got == {0: ("bsd", 1.0), 1: ("gpl", 1.0), 2: ("mit", 1.0), 3: ("bsd,mit", 1.0), 4: ("", 0.0), 5: ("", 0.0)}
+
+
+def lag_below_one(placed, weights, until):
+    """Whether no source is ever a whole block away from its share of the slots so far."""
+    shares = [Fraction(w) for w in weights]
+    scale = max(f.denominator for f in shares)
+    own, done = [int(f * scale) for f in shares], [0] * len(weights)
+    for slot, i in enumerate(placed[:until], 1):
+        done[i] += 1
+        if any(abs(n * sum(own) - slot * w) >= sum(own) for n, w in zip(done, own, strict=True)):
+            return False
+    return True
+
+
+def test_lag_against_unrounded_targets():
+    hot = [1 / 3, *[2 / 3 / 23] * 23]
+    for weights, blocks in (([0.9999, 0.0001], [120_000, 30]), ([0.9, 0.0505, 0.0495], [110_000, 7_000, 7_000]), (hot, [60_000, *[5_000] * 23])):
+        placed = list(M.schedule(blocks, weights))
+        assert [p[2] for p in placed] == list(range(sum(blocks))) and all(r <= s < d for *_, s, r, d in placed)
+        assert lag_below_one([p[0] for p in placed], weights, 110_000)
+        assert Counter(p[0] for p in placed) == dict(enumerate(blocks))
+
+
+def test_schedule_where_sources_run_out():
+    rng = random.Random(2)
+    for _ in range(50):
+        n = rng.randint(1, 30)
+        blocks, weights = [rng.randint(0, 40) for _ in range(n)], [rng.choice((rng.random() + 1e-9, 1.0, 1e-9, 3)) for _ in range(n)]
+        placed = list(M.schedule(blocks, weights))
+        assert [p[2] for p in placed] == list(range(sum(blocks))) and all(r <= s < d for *_, s, r, d in placed)
+        assert sorted((i, k) for i, k, *_ in placed) == [(i, k) for i, b in enumerate(blocks) for k in range(b)]
+
+
+def test_mix_follows_unrounded_targets(spark):
+    rows = spark.range(120_000).selectExpr("id as doc_id", "if(id < 119970, 'a', 'b') as source")
+    got = M.mix(rows, {"a": 0.9999, "b": 0.0001}, block_rows=1).select("position", "source").orderBy("position").collect()
+    assert [r.position for r in got] == list(range(120_000))
+    assert lag_below_one(["ab".index(r.source) for r in got], [0.9999, 0.0001], 110_000)
