@@ -56,8 +56,8 @@ def enumerated(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
 
 
 def enumerate_split(df: DataFrame, *order: str, name: str, half: int = 1_000_000) -> DataFrame:
-    """Rows with ids ``name_A_n`` for the first ``half`` and ``name_B_n`` for the next, in order; later rows go."""
-    numbered = enumerated(df, *order).where(F.col("n") <= 2 * half)
+    """Rows with ids ``name_A_n`` for the first ``half`` and ``name_B_n`` for all others, in order."""
+    numbered = enumerated(df, *order)
     first = F.col("n") <= half
     return numbered.withColumn("row_id", F.concat(F.lit(name + "_"), F.when(first, "A").otherwise("B"), F.lit("_"), F.when(first, F.col("n")).otherwise(F.col("n") - half).cast("string")))
 
