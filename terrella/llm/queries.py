@@ -16,7 +16,7 @@ from terrella.llm.mixing import mix
 from terrella.llm.near_dedup import near_dedup
 from terrella.llm.quality_classifier import quality_classifier
 from terrella.llm.quality_rules import quality_rules
-from terrella.llm.sharding import kd_shards, prefix_code
+from terrella.llm.sharding import kd_shards
 from terrella.llm.store import save, shared_dir
 
 #: The rank file of op3; its folder must be the same on all executors.
@@ -29,7 +29,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.floor(F.log2(F.octet_length(F.coalesce("text", F.lit(""))) + 1) * 65_536)
-    dims = {"source": prefix_code(F.col("source")), "lang": prefix_code(F.col("lang")), "length": length, "doc_id": F.col("doc_id")}
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "length": length, "doc_id": F.col("doc_id")}
     placed = kd_shards(_documents(spark, sf_dir), dims, shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from terrella.llm.store import numbered, save
+from terrella.llm.store import numbered, save, small
 
 #: Bins for each node and pass.
 BINS = 512
@@ -25,6 +26,16 @@ def prefix_code(value: Column) -> Column:
     return F.coalesce(F.conv(F.rpad(head, 14, "0"), 16, 10).cast("long"), F.lit(-1).cast("long"))
 
 
+def ranks(values: DataFrame) -> DataFrame:
+    """``value`` and ``code``: the distinct strings of a table's only column, numbered from 0 in order. Range partitions are sorted by themselves."""
+    distinct = values.toDF("value").where("value is not null").distinct()
+    parts = save(distinct.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "values")
+    sizes = parts.groupBy("part").count()
+    before = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
+    return save(parts.withColumn("own", own).join(F.broadcast(before), "part").select("value", (F.col("before") + F.col("own")).cast("long").alias("code")), "ranks")
+
+
 def _before(names: Sequence[str], cut: Sequence[int], inclusive: bool) -> Column:
     """Whether a row comes before the cut, or at it: compared by the named columns in turn."""
     last = F.col(names[len(cut) - 1])
@@ -81,7 +92,7 @@ def kd_tree(rows: DataFrame, dims: Sequence[str], shards: int, tolerance: float
             n |= {"want": r["bytes"] * (n["count"] // 2) / n["count"], "below": 0, "stage": 0, "fixed": []}
         active = list(open_nodes)
         while active:
-            node, value, low, step, fit = F.col("node"), None, None, None, None
+            node, value, step, fit = F.col("node"), None, None, None
             for n in active:
                 order = [n["dim"], "id", "tie"]
                 here = F.lit(True)
@@ -90,13 +101,12 @@ def kd_tree(rows: DataFrame, dims: Sequence[str], shards: int, tolerance: float
                 own = F.col(order[n["stage"]])
                 mine = node == n["first"]
                 value = F.when(mine, own) if value is None else value.when(mine, own)
-                low = F.when(mine, float(n["low"])) if low is None else low.when(mine, float(n["low"]))
-                width = max(1.0, (n["high"] - n["low"] + 1) / BINS)
+                width = F.lit((n["high"] - n["low"]) // BINS + 1).cast("long")
                 step = F.when(mine, width) if step is None else step.when(mine, width)
                 inside = here & own.between(n["low"], n["high"])
                 fit = F.when(mine, inside) if fit is None else fit.when(mine, inside)
-            near = rows.withColumn("node", _place(root)).where(fit).select("node", value.alias("v"), low.alias("l"), step.alias("w"), "size")
-            near = near.withColumn("bin", F.floor((F.col("v").cast("double") - F.col("l")) / F.col("w")))
+            near = rows.withColumn("node", _place(root)).where(fit).select("node", value.alias("v"), step.alias("w"), "size")
+            near = near.withColumn("bin", F.expr("v div w"))  # whole numbers: every pass narrows an interval of two values or more
             found: dict[int, list] = {}
             for r in near.groupBy("node", "bin").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("size").alias("size")).collect():
                 found.setdefault(r["node"], []).append((r["bin"], r["low"], r["high"], r["size"]))
@@ -114,12 +124,19 @@ def kd_shards(df: DataFrame, dims: Mapping[str, Column], shards: int | None = No
     """One row per input row: the ``keep`` columns, ``size``, ``text_crc32``, ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     A row weighs its text in UTF-8 plus ``row_bytes``; a null text weighs ``row_bytes``. Splits go on until there are ``shards`` leaves, or as
-    many as bring a leaf to ``target_bytes``. Nulls in a dimension or id sort first. Ties are cut by id, then by the row's
+    many as bring a leaf to ``target_bytes``. A string dimension counts by the rank of the whole string among the distinct ones. Nulls in a dimension or id sort first. Ties are cut by id, then by the row's
     place in the written table, so repeated rows and a hot source are split like any others. An empty table gives an empty result; fewer rows than
     shards leave shards empty. Other columns are ignored. Sizes differ by less than about a row and 0.1 % of a shard for each level of the tree.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("id"), (F.octet_length(text) + row_bytes).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[d.cast("long").alias(f"d{i}") for i, d in enumerate(dims.values())], F.monotonically_increasing_id().alias("tie"))
+    base = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("id"), (F.octet_length(text) + row_bytes).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[d.alias(f"d{i}") for i, d in enumerate(dims.values())], F.monotonically_increasing_id().alias("tie"))
+    for i, d in enumerate(dims.values()):
+        if isinstance(base.schema[f"d{i}"].dataType, StringType):
+            codes = ranks(df.select(d))
+            longest = codes.agg(F.max(F.octet_length("value"))).first()[0] or 0
+            base = base.join(small(codes, 32 + longest), F.col(f"d{i}") == F.col("value"), "left").withColumn(f"d{i}", F.col("code")).drop("value", "code")
+        else:
+            base = base.withColumn(f"d{i}", F.col(f"d{i}").cast("long"))
     base = save(base.na.fill(-1, [f"d{i}" for i in range(len(dims))]), "kd")
     total, rows = base.agg(F.sum("size"), F.count("*")).first()
     leaves = shards or max(1, round((total or 0) / (target_bytes or 1)))
