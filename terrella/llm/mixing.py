@@ -23,9 +23,6 @@ from pyspark.sql import functions as F
 
 from terrella.llm.store import numbered, save, ship, small
 
-#: Sources whose totals and weights the driver holds.
-MAX_SOURCES = 1_000
-
 
 def pfair(weights: Sequence[int]) -> list[tuple[int, int, int, int, int]]:
     """``(task, block, slot, release, deadline)`` of one period of ``sum(weights)`` slots, earliest deadline first among the released."""
@@ -95,16 +92,13 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
     rows are placed like any other; an empty table gives an empty result; other columns are ignored. The
     order within a source follows a hash of the ``keep`` columns. Rows of a hot source are numbered by many tasks. One
     task walks through the slots, of ``block_rows`` rows each; it holds a few numbers for each source and gives its blocks out as it goes.
-    Sources over ``MAX_SOURCES`` raise ValueError.
     """
     spark = df.sparkSession
     ship(spark)
     rows = save(df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(source_col).cast("string").alias("source"), F.monotonically_increasing_id().alias("tie")), "mixed")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))
     sources = save(rows.groupBy("source").count(), "sources")
-    total, longest, n_sources = sources.agg(F.sum("count"), F.max(F.octet_length("source")), F.count("*")).first()
-    if n_sources > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
+    total, longest = sources.agg(F.sum("count"), F.max(F.octet_length("source"))).first()
     bad = [s for s, w in (weights or {}).items() if not 0 < w < math.inf]
     if bad and sources.where(key.isin(["-" if s is None else "s" + s for s in bad])).head(1):
         raise ValueError("weights must be positive")

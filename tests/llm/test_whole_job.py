@@ -65,3 +65,10 @@ def test_mix_follows_unrounded_targets(spark):
     got = M.mix(rows, {"a": 0.9999, "b": 0.0001}, block_rows=1).select("position", "source").orderBy("position").collect()
     assert [r.position for r in got] == list(range(120_000))
     assert lag_below_one(["ab".index(r.source) for r in got], [0.9999, 0.0001], 110_000)
+
+
+def test_mix_of_many_sources(spark):
+    rows = spark.range(6_000).selectExpr("id as doc_id", "if(id < 2000, 'hot', concat('host', id % 1500)) as source")
+    got = M.mix(rows, block_rows=2).collect()
+    assert sorted(r.doc_id for r in got) == list(range(6_000)) and sorted(r.position for r in got) == list(range(6_000))
+    assert all(r.release <= r.slot < r.deadline for r in got)
