@@ -53,7 +53,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return secret_scan.digest(secret_scan.secret_scan(docs, secret_scan.train(secret_scan.labelled_samples(docs))))
+    ratios, threshold = secret_scan.fitted(save(secret_scan.labelled_samples(docs), "samples"))
+    return secret_scan.digest(secret_scan.secret_scan(docs, ratios, threshold=threshold))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

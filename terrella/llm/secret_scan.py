@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns and character Markov models.
 
 Two first-order models, of random strings and of ordinary identifiers, are trained from labelled
-samples. A run of token characters is a secret if its log-likelihood ratio passes a threshold. Spans
+samples. A run of token characters is a secret if its log-likelihood ratio passes a threshold, which is
+calibrated on samples held out from the training. Spans
 come from the lengths of matches and of the gaps between them, all in SQL expressions.
 """
 
@@ -70,14 +71,69 @@ def train(samples: DataFrame, smoothing: float = 1.0) -> list[int]:
     return [round(1000 * (math.log(table[True][i] / sums[True][i // n]) - math.log(table[False][i] / sums[False][i // n]))) for i in range(n * n)]
 
 
+#: Parts that made identifiers are put together from, besides the words of the documents.
+PARTS = (
+    "abstract access account action adapter address admin array async attribute base bean binary block buffer build byte cache call cancel channel char check child class client clock code collection color column command "
+    "config connection constant container content context control count create cursor data database date debug default delete device dialog directory display document domain driver element email encoder engine entity "
+    "error event example exception export factory field file filter folder format frame function gateway generator graph group handler hash header height helper host http image import index info input instance integer "
+    "interface internal item iterator job json key label language layout length level library link list listener load local lock logger loop manager map memory menu message method model module monitor name network node "
+    "number object observer option order output package page panel parameter parent parser path pattern player plugin point policy pool position prefix process profile project property protocol provider proxy query queue"
+).split()
+
+
 def labelled_samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = 1_000, strings: int = 3_000) -> DataFrame:
-    """Random strings by a rule (hexadecimal, base 64, capitals with digits), and the words of at most ``docs`` documents, those with the least hashes of their ids."""
+    """``text`` and boolean ``secret``: random strings against ordinary identifiers.
+
+    Random strings are made by a rule: hexadecimal, base 64, capitals with digits. Ordinary are the words of at most ``docs``
+    documents, those with the least hashes of their ids, and identifiers made by a rule from ``PARTS``: camel and Pascal case,
+    snake and kebab case, constants, paths, names with numbers, rules of one character, and UUIDs.
+    """
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     plain = F.regexp_replace(F.base64(digest), "[+/=]", "")
-    made = df.sparkSession.range(strings).select(F.explode(F.array(F.substring(F.lower(F.hex(digest)), 1, 40), F.base64(digest), F.upper(plain))).alias("text"), F.lit(True).alias("secret"))
+    numbers = df.sparkSession.range(strings)
+    made = numbers.select(F.explode(F.array(F.substring(F.lower(F.hex(digest)), 1, 40), F.base64(digest), F.upper(plain))).alias("text"), F.lit(True).alias("secret"))
+    pick = lambda salt: F.element_at(F.array(*map(F.lit, PARTS)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(PARTS))) + 1).cast("int"))
+    parts = F.slice(F.array(*[pick(i) for i in range(5)]), F.lit(1), (F.col("id") % 3 + 3).cast("int"))
+    pascal, code = F.array_join(F.transform("parts", F.initcap), ""), F.lower(F.hex(digest))
+    cut = lambda at, n: F.substring(code, at, n)
+    styles = [
+        F.concat(F.element_at("parts", 1), F.regexp_replace(pascal, "^[A-Z][a-z]*", "")), pascal, F.array_join("parts", "_"), F.array_join("parts", "-"), F.upper(F.array_join("parts", "_")), F.concat(F.lit("/"), F.array_join("parts", "/")),
+        F.concat(F.array_join("parts", "_"), F.lit("_"), F.col("id").cast("string")), F.repeat(F.substring(F.lit("-=_+/x0"), (F.col("id") % 7 + 1).cast("int"), F.lit(1)), (F.col("id") % 40 + 20).cast("int")), F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12)),
+    ]
+    names = numbers.withColumn("parts", parts).select(F.explode(F.array(*styles)).alias("text"))
     some = F.broadcast(df.select(F.col(id_col).alias("some__")).distinct().orderBy(F.xxhash64("some__"), "some__").limit(docs))
     words = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some, F.col("id") == F.col("some__"), "left_semi").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_-]{3,}"), F.lit(0))).alias("text"))
-    return made.unionByName(words.where("length(text) < 20").withColumn("secret", F.lit(False)))
+    return made.unionByName(names.unionByName(words.where("length(text) < 20")).withColumn("secret", F.lit(False)))
+
+
+def held_out(samples: DataFrame, of: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The samples without and with those whose hash falls in one of ``of`` parts: for training and for calibration."""
+    mine = F.pmod(F.xxhash64("text"), F.lit(of)) == 0
+    return samples.where(~mine), samples.where(mine)
+
+
+def confusion(samples: DataFrame, ratios: list[int], least: int = 20, step: int = 500, bins: int = 400) -> list[tuple[int, int, int]]:
+    """(threshold, secrets, ordinary) that score in each step of ``step`` from the threshold on, of the samples that are long enough to be candidates; at most ``2 * bins`` rows."""
+    at = F.greatest(F.lit(-bins), F.least(F.lit(bins - 1), F.floor(score(F.col("text"), ratios) / step)))
+    rows = samples.where((F.length("text") >= least) & F.col("secret").isNotNull()).groupBy(at.alias("at")).agg(F.count_if("secret").alias("secrets"), F.count_if(~F.col("secret")).alias("ordinary")).collect()
+    return sorted((r["at"] * step, r["secrets"], r["ordinary"]) for r in rows)
+
+
+def calibrate(samples: DataFrame, ratios: list[int], least: int = 20, precision: float = 0.999, default: int = 10_000) -> int:
+    """The least threshold from which on at least ``precision`` of the samples found are secrets; ``default`` without samples of both kinds."""
+    table = confusion(samples, ratios, least)
+    if not sum(s for _, s, _ in table) or not sum(o for *_, o in table):
+        return default
+    found = [(t, sum(s for u, s, _ in table if u >= t), sum(o for u, _, o in table if u >= t)) for t, *_ in table]
+    good = [t for t, s, o in found if s and s >= precision * (s + o)]
+    return max(0, min(good)) if good else default
+
+
+def fitted(samples: DataFrame, least: int = 20) -> tuple[list[int], int]:
+    """Ratios and threshold: trained on most of the samples, calibrated on the others."""
+    most, others = held_out(samples)
+    ratios = train(most)
+    return ratios, calibrate(others, ratios, least)
 
 
 def score(token: Column, ratios: list[int]) -> Column:

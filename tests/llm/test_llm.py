@@ -25,7 +25,7 @@ from terrella.llm import secret_scan as S
 from terrella.llm import token_counts as C
 from terrella.llm.queries import RANKS, queries
 from terrella.llm.quality_classifier import quality_classifier
-from terrella.llm.sharding import kd_shards, prefix_code
+from terrella.llm.sharding import kd_shards
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path(RANKS)
@@ -209,7 +209,7 @@ def test_mix(spark, hard):
 
 
 def test_shards(spark, hard):
-    dims = {"source": prefix_code(F.col("source")), "doc_id": F.col("doc_id")}
+    dims = {"source": F.col("source"), "doc_id": F.col("doc_id")}
     got = kd_shards(hard, dims, 4, keep=("doc_id", "text")).collect()
     assert len(got) == len(HARD) and all(r["size"] == len((r.text or "").encode()) + 8 and r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in got)
     assert kd_shards(hard.limit(0), dims, 4).count() == 0
