@@ -1,7 +1,8 @@
 """Planar geometry as native column expressions. Borders count as inside unless a function says otherwise.
 
 A point is two columns, or an array for any number of dimensions; a box is four columns; a ring or line is an
-``array<struct<x,y>>``; a segment is a struct ``x1, y1, x2, y2``.
+``array<struct<x,y>>``; a segment is a struct ``x1, y1, x2, y2``. A coordinate of nulls is a break: it parts the rings of a
+polygon (an inner ring is a hole) and the parts of a line, which no edge joins.
 """
 
 from __future__ import annotations
@@ -258,16 +259,21 @@ def segment_box(s: Column) -> Box:
 
 
 def edges_of(coords: Column) -> Column:
-    """Consecutive segments; a single coordinate gives one segment without length."""
+    """Consecutive segments, none over a break; a single coordinate gives one segment without length."""
     n = F.size(coords)
     pair = lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
-    return F.when(n == 1, F.transform(coords, lambda c: pair(c, c))).otherwise(F.zip_with(F.slice(coords, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(coords, F.lit(2), F.greatest(n - 1, F.lit(0))), pair))
+    joined = F.zip_with(F.slice(coords, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(coords, F.lit(2), F.greatest(n - 1, F.lit(0))), pair)
+    return F.when(n == 1, F.transform(coords, lambda c: pair(c, c))).otherwise(F.filter(joined, lambda e: e["x1"].isNotNull() & e["x2"].isNotNull()))
+
+
+def has_breaks(coords: Column) -> Column:
+    return F.exists(coords, lambda c: c["x"].isNull())
 
 
 def closed(ring: Column) -> Column:
-    """The ring with its first coordinate repeated at the end, and padded to four coordinates."""
+    """The ring with its first coordinate repeated at the end, and padded to four coordinates; several rings, which texts close, stay as they are."""
     first = ring[0]
-    shut = F.when((first["x"] == F.element_at(ring, -1)["x"]) & (first["y"] == F.element_at(ring, -1)["y"]), ring).otherwise(F.concat(ring, F.array(first)))
+    shut = F.when(has_breaks(ring), ring).when((first["x"] == F.element_at(ring, -1)["x"]) & (first["y"] == F.element_at(ring, -1)["y"]), ring).otherwise(F.concat(ring, F.array(first)))
     return F.concat(shut, F.array_repeat(first, F.greatest(F.lit(0), 4 - F.size(shut))))
 
 
@@ -368,16 +374,22 @@ def intersects(a: tuple[str, Sequence[Value]], b: tuple[str, Sequence[Value]]) -
 
 
 def to_wkt(coords: Column, kind: str = "POLYGON") -> Column:
-    body = F.array_join(F.transform(coords, lambda c: F.concat_ws(" ", c["x"].cast("string"), c["y"].cast("string"))), ", ")
+    pair = lambda c: F.when(c["x"].isNull(), "|").otherwise(F.concat_ws(" ", c["x"].cast("string"), c["y"].cast("string")))
+    body = F.replace(F.array_join(F.transform(coords, pair), ", "), F.lit(", |, "), F.lit("), ("))
     return {"POINT": F.concat(F.lit("POINT ("), body, F.lit(")")), "LINESTRING": F.concat(F.lit("LINESTRING ("), body, F.lit(")"))}.get(kind, F.concat(F.lit("POLYGON (("), body, F.lit("))")))
 
 
 def from_wkt(text: Value) -> Column:
-    """Coordinates of a WKT text, of all rings in turn; null where it holds no pair of numbers."""
+    """Coordinates of a WKT text, the rings or parts in turn with a break between them; a part of one coordinate among several counts twice. Null where the text holds no pair of numbers."""
     number = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
-    pairs = F.regexp_extract_all(col(text), F.lit(f"({number})\\s+({number})"), F.lit(0))
-    parsed = F.transform(pairs, lambda p: F.struct(F.split(p, r"\s+")[0].cast("double").alias("x"), F.split(p, r"\s+")[1].cast("double").alias("y")))
-    return F.when(F.size(pairs) > 0, parsed)
+    found = F.regexp_extract_all(col(text), F.lit(r"\(([^()]*)\)"), F.lit(1))
+    at = lambda p, i: F.split(p, r"\s+")[i].cast("double")
+    coords = lambda part: F.transform(F.regexp_extract_all(part, F.lit(f"({number})\\s+({number})"), F.lit(0)), lambda p: F.struct(at(p, 0).alias("x"), at(p, 1).alias("y")))
+    parts = F.filter(F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(col(text))), coords), lambda c: F.size(c) > 0)
+    gap = F.array(F.lit(None).cast("struct<x:double,y:double>")).cast("array<struct<x:double,y:double>>")
+    gap = F.transform(gap, lambda g: F.struct(g["x"].alias("x"), g["y"].alias("y")))
+    several = F.flatten(F.transform(parts, lambda c, i: F.concat(F.when(i > 0, gap).otherwise(F.slice(gap, 1, 0)), F.when(F.size(c) == 1, F.concat(c, c)).otherwise(c))))
+    return F.when(F.size(parts) > 1, several).when(F.size(parts) == 1, F.flatten(parts))
 
 
 def to_wkb(coords: Column) -> Column:

@@ -45,9 +45,14 @@ def bad_records(parsed: DataFrame, column: str) -> DataFrame:
 
 
 def co_occurring(items: DataFrame, item: str, cell: str) -> DataFrame:
-    """Per cell: how many items touch it, and the other cells that those items touch."""
-    pairs = items.select(item, F.col(cell).alias("cell")).join(items.select(item, F.col(cell).alias("other")), item)
-    return pairs.groupBy("cell").agg(F.count_distinct(item).alias("n"), F.array_sort(F.collect_set(F.when(F.col("other") != F.col("cell"), F.col("other")))).alias("others"))
+    """Per cell: how many items touch it, and the other cells that those items touch.
+
+    An item's cells, as many as the grid has at most, are paired row by row and counted in each task first; no join.
+    """
+    own = items.groupBy(item).agg(F.collect_set(F.col(cell)).alias("cells"))
+    pairs = own.select(F.explode("cells").alias("cell"), "cells").select("cell", F.explode("cells").alias("other")).groupBy("cell", "other").agg(F.count("*").alias("n"))
+    same = F.col("other") == F.col("cell")
+    return pairs.groupBy("cell").agg(F.max(F.when(same, F.col("n"))).alias("n"), F.array_sort(F.collect_list(F.when(~same, F.col("other")))).alias("others"))
 
 
 def hilbert_loads(df: DataFrame, xmin: float, ymin: float, width: float, n: int = 256) -> DataFrame:

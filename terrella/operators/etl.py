@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrella.functions.geometry import Value, col
+from terrella.plans.written import written
 
 
 def osm_nodes(elements: DataFrame, column: str = "value") -> DataFrame:
@@ -47,12 +48,14 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int = 1, partitions: i
 
 
 def enumerated(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
-    """Rows with numbers from 1 in an order: range partitions are sorted by themselves, and only their counts meet."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part__", F.spark_partition_id()).persist()
+    """Rows with numbers from 1 in an order: range partitions, written once, are sorted by themselves, and only their counts meet. Rows with equal order columns come in the order of a hash of all columns, so a repeated run numbers them alike."""
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    keyed = df.withColumn("tie__", tie)
+    parts = written(keyed.repartitionByRange(*order, "tie__").withColumn("part__", F.spark_partition_id()), "enumerated")
     sizes = parts.groupBy("part__").agg(F.count("*").alias("size__"))
     before = sizes.select(F.col("part__").alias("p__"), F.coalesce(F.sum("size__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before__"))
-    own = F.row_number().over(Window.partitionBy("part__").orderBy(*order))
-    return parts.withColumn("own__", own).join(F.broadcast(before), F.col("part__") == F.col("p__")).withColumn(name, F.col("before__") + F.col("own__")).drop("part__", "p__", "own__", "before__")
+    own = F.row_number().over(Window.partitionBy("part__").orderBy(*order, "tie__"))
+    return parts.withColumn("own__", own).join(F.broadcast(before), F.col("part__") == F.col("p__")).withColumn(name, F.col("before__") + F.col("own__")).drop("part__", "p__", "own__", "before__", "tie__")
 
 
 def enumerate_split(df: DataFrame, *order: str, name: str, half: int = 1_000_000) -> DataFrame:
@@ -92,14 +95,19 @@ _A, _E = 6378137.0, math.sqrt(2 / 298.257222101 - (1 / 298.257222101) ** 2)
 _PARALLELS, _ORIGIN, _EASTING, _FOOT = (40 + 40 / 60, 41 + 2 / 60), (-74.0, 40 + 10 / 60), 300000.0, 1200 / 3937
 
 
-def to_state_plane(lon: Value, lat: Value) -> tuple[Column, Column]:
-    """WGS84 degrees to EPSG:2263 feet: Lambert's conformal conic with two parallels, in closed form."""
+def lambert_constants() -> tuple[float, float, float, float, float]:
+    """Semi-axis, eccentricity, and the cone's exponent, factor and radius at the origin."""
     m = lambda p: math.cos(p) / math.sqrt(1 - (_E * math.sin(p)) ** 2)
     t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - _E * math.sin(p)) / (1 + _E * math.sin(p))) ** (_E / 2)
     p1, p2 = map(math.radians, _PARALLELS)
     n = (math.log(m(p1)) - math.log(m(p2))) / (math.log(t(p1)) - math.log(t(p2)))
     f = m(p1) / (n * t(p1) ** n)
-    rho0 = _A * f * t(math.radians(_ORIGIN[1])) ** n
+    return _A, _E, n, f, _A * f * t(math.radians(_ORIGIN[1])) ** n
+
+
+def to_state_plane(lon: Value, lat: Value) -> tuple[Column, Column]:
+    """WGS84 degrees to EPSG:2263 feet: Lambert's conformal conic with two parallels, in closed form."""
+    _, _, n, f, rho0 = lambert_constants()
     phi = F.radians(col(lat))
     own = F.tan(F.lit(math.pi / 4) - phi / 2) / F.pow((1 - F.sin(phi) * _E) / (1 + F.sin(phi) * _E), F.lit(_E / 2))
     rho, theta = F.pow(own, F.lit(n)) * (_A * f), (F.radians(col(lon)) - math.radians(_ORIGIN[0])) * n

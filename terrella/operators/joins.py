@@ -6,15 +6,19 @@ Rows with a null, NaN or infinite coordinate never match; ties are broken by id.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terrella.functions.geometry import Box, coords_box, edge_squared, edges_of, geometry_intersects, squared_distance
-from terrella.plans.grid import SLACK, box_pairs, box_point_pairs, knn_candidates, neighbours, prefixed, valid
+from terrella.functions.geometry import Box, coords_box, edge_squared, edges_of, finite, geometry_intersects, geometry_squared, segment_point_squared, squared_distance
+from terrella.functions.raster import segment_cells
+from terrella.plans.grid import SLACK, box_pairs, box_point_pairs, knn_candidates, neighbours, no_pairs, prefixed, valid
+from terrella.plans.written import written
 
 
 def _positive(k: int) -> None:
@@ -22,19 +26,28 @@ def _positive(k: int) -> None:
         raise ValueError("k must be positive")
 
 
-def distance_join(left: DataFrame, right: DataFrame, r: float) -> DataFrame:
-    """Pairs of points (columns x, y) at a distance of at most ``r``, with ``distance``. A right row goes to the nine cells around its own, a left row to one."""
+def distance_join(left: DataFrame, right: DataFrame, r: float, keys: Sequence[str] = ("x", "y")) -> DataFrame:
+    """Pairs of points at a distance of at most ``r``, with ``distance``, over any number of ``keys``.
+
+    Cells are as wide as the radius, in the first three dimensions at most. A right row goes to the cells around its own, a left row to one.
+    """
     if r < 0:
         raise ValueError("r must not be negative")
-    l, q = valid(prefixed(left, "l_"), "l_x", "l_y"), valid(prefixed(right, "r_"), "r_x", "r_y")
-    d2 = squared_distance("l_x", "l_y", "r_x", "r_y")
+    numbers = lambda p: finite(*[p + c for c in keys])
+    l, q = prefixed(left, "l_").where(numbers("l_")), prefixed(right, "r_").where(numbers("r_"))
     if r == 0:
-        return l.join(q, (F.col("l_x") == F.col("r_x")) & (F.col("l_y") == F.col("r_y"))).withColumn("distance", F.lit(0.0))
+        equal = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in keys]
+        return l.join(q, equal).withColumn("distance", F.lit(0.0))
     width = r * (1 + SLACK)
     cell = lambda c: F.floor(F.col(c) / width).cast("long")
-    l = l.withColumns({"cx__": cell("l_x"), "cy__": cell("l_y")})
-    q = q.withColumn("c__", F.explode(neighbours(cell("r_x"), cell("r_y")))).withColumns({"cx__": F.col("c__.cx"), "cy__": F.col("c__.cy")}).drop("c__")
-    return l.join(q, ["cx__", "cy__"]).drop("cx__", "cy__").withColumn("d__", d2).where(F.col("d__") <= r * r).withColumn("distance", F.sqrt("d__")).drop("d__")
+    names = [f"c{i}__" for i in range(min(3, len(keys)))]
+    l = l.withColumns({n: cell(f"l_{c}") for n, c in zip(names, keys, strict=False)})
+    for n, c in zip(names, keys, strict=False):
+        q = q.withColumn(n, F.explode(F.array(*[cell(f"r_{c}") + d for d in (-1, 0, 1)])))
+    apart = F.lit(0.0)
+    for c in keys:
+        apart = apart + (F.col(f"l_{c}") - F.col(f"r_{c}")) * (F.col(f"l_{c}") - F.col(f"r_{c}"))
+    return l.join(q, names).drop(*names).withColumn("d__", apart).where(F.col("d__") <= r * r).withColumn("distance", F.sqrt("d__")).drop("d__")
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", right_id: str = "id", where: Column | None = None) -> DataFrame:
@@ -44,7 +57,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", rig
     """
     _positive(k)
     right = right.where(where) if where is not None else right
-    pairs = knn_candidates(prefixed(left, "l_"), prefixed(right, "r_"), k).withColumn("d__", squared_distance("l_x", "l_y", "r_x", "r_y"))
+    pairs = knn_candidates(prefixed(left, "l_"), prefixed(right, "r_"), k, f"r_{right_id}").withColumn("d__", squared_distance("l_x", "l_y", "r_x", "r_y"))
     order = Window.partitionBy(f"l_{left_id}").orderBy("d__", f"r_{right_id}")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("distance", F.sqrt("d__")).drop("d__")
 
@@ -63,42 +76,67 @@ def all_knn_join(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return knn_join(a, b, k).withColumn("side", F.lit("ab")).unionByName(knn_join(b, a, k).withColumn("side", F.lit("ba")))
 
 
-def knn_join_nd(queries: DataFrame, data: DataFrame, k: int, query_col: str, data_col: str, query_id: str, data_id: str, block: int = 2_000) -> DataFrame:
+def knn_join_nd(queries: DataFrame, data: DataFrame, k: int, query_col: str, data_col: str, query_id: str, data_id: str, block_bytes: int = 32 << 20) -> DataFrame:
     """k nearest rows of ``data`` for a stated set of query points of any dimension: blocks of queries pass over all rows, each batch keeps its best k, and a window ranks those.
 
-    The driver holds one block of queries at a time.
+    A block is a broadcast of at most ``block_bytes``; the driver and each task hold one block at a time, and a block's result is written before the next is read. Vectors of
+    another dimension, and those with nulls or NaNs, match nothing.
     """
     _positive(k)
-    out = None
-    ids = queries.select(F.col(query_id).alias("q"), F.col(query_col).cast("array<double>").alias("v")).where("v is not null and not exists(v, a -> a is null or isnan(a))")
-    found, blocks = [], []
-    for row in ids.toLocalIterator():
-        found.append((row["q"], row["v"]))
-        if len(found) == block:
-            blocks, found = [*blocks, found], []
+    spark, out = data.sparkSession, None
     schema = f"query {dict(queries.dtypes)[query_id]}, id {dict(data.dtypes)[data_id]}, d2 double"
-    for part in [*blocks, *([found] if found else [])]:
-        near = data.select(F.col(data_id).alias("id"), F.col(data_col).cast("array<double>").alias("v")).where("v is not null").mapInPandas(_nearest(part, k), schema)
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda a: a.isNull() | F.isnan(a))
+    points = queries.select(F.col(query_id).alias("q"), F.col(query_col).cast("array<double>").alias("v")).where(whole("v"))
+    rows = data.select(F.col(data_id).alias("id"), F.col(data_col).cast("array<double>").alias("v")).where(whole("v"))
+    for block in _blocks(points, block_bytes):
+        held = spark.sparkContext.broadcast(block)
+        near = written(rows.mapInPandas(_nearest(held, k), schema), "nearest")
+        held.destroy()
         out = near if out is None else out.unionByName(near)
     if out is None:
-        return data.sparkSession.createDataFrame([], schema + ", rank int, distance double").drop("d2")
+        return spark.createDataFrame([], schema + ", rank int, distance double").drop("d2")
     order = Window.partitionBy("query").orderBy("d2", "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("distance", F.sqrt("d2")).drop("d2")
 
 
-def _nearest(part: list, k: int) -> Callable:
-    names, points = [q for q, _ in part], np.array([v for _, v in part], float)
+def _blocks(points: DataFrame, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors, of one dimension a block, read from the cluster as they are needed."""
+    names: list = []
+    vectors: list[list[float]] = []
+    for row in points.orderBy(F.size("v"), "q").toLocalIterator():
+        if vectors and (len(row["v"]) != len(vectors[0]) or (len(vectors) + 1) * len(row["v"]) * 8 > limit):
+            yield np.array(names), np.array(vectors, float)
+            names, vectors = [], []
+        names.append(row["q"])
+        vectors.append(row["v"])
+    if vectors:
+        yield np.array(names), np.array(vectors, float)
+
+
+def _nearest(held, k: int, chunk_bytes: int = 32 << 20) -> Callable:  # noqa: ANN001
+    """Keeps each batch's k nearest of every query. A matrix product bounds the squared distances; those that may be among the k are worked out exactly, so that ties stay ties."""
 
     def run(batches):  # noqa: ANN001, ANN202
+        names, points = held.value
+        norms = (points * points).sum(axis=1)
         for batch in batches:
+            batch = batch[[len(v) == points.shape[1] for v in batch.v]]
             if not len(batch):
                 continue
             x, own = np.stack(batch.v.to_numpy()), batch.id.to_numpy()
-            for at in range(0, len(points), 64):
-                d2 = ((points[at : at + 64, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-                for i, row in enumerate(d2):
-                    best = np.lexsort((own, row))[:k]
-                    yield pd.DataFrame({"query": names[at + i], "id": own[best], "d2": row[best]})
+            size = (x * x).sum(axis=1)
+            step, found = max(1, chunk_bytes // (8 * len(x))), []
+            for at in range(0, len(points), step):
+                rough = norms[at : at + step, None] + size[None, :] - 2.0 * (points[at : at + step] @ x.T)
+                slack = 1e-12 * (norms[at : at + step] + size.max()) * points.shape[1]
+                kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(rough), np.inf)
+                i, j = np.nonzero(rough <= (kth + 2 * slack)[:, None])
+                for part in range(0, len(i), max(1, chunk_bytes // (8 * points.shape[1]))):
+                    a, b = i[part : part + chunk_bytes // (8 * points.shape[1]) or 1], j[part : part + chunk_bytes // (8 * points.shape[1]) or 1]
+                    gap = points[at + a] - x[b]
+                    found.append(pd.DataFrame({"query": names[at + a], "id": own[b], "d2": (gap * gap).sum(axis=1)}))
+            best = pd.concat(found).sort_values(["query", "d2", "id"], kind="stable")
+            yield best[best.groupby("query").cumcount() < k]
 
     return run
 
@@ -111,10 +149,13 @@ def range_join(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return box_point_pairs(prefixed(boxes, "r_"), Box.of("r_xmin", "r_ymin", "r_xmax", "r_ymax"), prefixed(points, "l_"), "l_x", "l_y")
 
 
-def semi_join(points: DataFrame, boxes: DataFrame, point_id: str = "id", anti: bool = False) -> DataFrame:
-    """Points in at least one box, or in none with ``anti``; rows stay a bag. Rows without coordinates are in no box."""
-    held = range_join(points.select(point_id, "x", "y"), boxes).select(F.col(f"l_{point_id}").alias(point_id)).distinct()
-    return points.join(held, point_id, "left_anti" if anti else "left_semi")
+def semi_join(points: DataFrame, boxes: DataFrame, anti: bool = False) -> DataFrame:
+    """Points in at least one box, or in none with ``anti``; rows stay a bag. Rows without coordinates are in no box.
+
+    A location decides, not an id: rows with null or equal ids each answer for themselves.
+    """
+    held = range_join(points.select("x", "y").distinct(), boxes.select("xmin", "ymin", "xmax", "ymax")).select(F.col("l_x").alias("x"), F.col("l_y").alias("y")).distinct()
+    return points.join(held, ["x", "y"], "left_anti" if anti else "left_semi").select(*points.columns)
 
 
 def range_join_aggregate(points: DataFrame, boxes: DataFrame, aggregates: Sequence[Column], box_id: str = "id") -> DataFrame:
@@ -156,57 +197,128 @@ def match_range(set1: DataFrame, set2: DataFrame) -> DataFrame:
     return _matches(set2, hit.withColumns({"distance": F.lit(0.0), "rank": F.row_number().over(Window.partitionBy("r_payload").orderBy("l_payload"))}))
 
 
+def shape_distance_join(set1: DataFrame, set2: DataFrame, r: float) -> DataFrame:
+    """Pairs of shapes at a distance of at most ``r``, with ``distance``: bounds that meet when grown by r, then the exact distance."""
+    apart = shape_pairs(set1, set2, r).withColumn("d__", geometry_squared(*map(F.col, _SHAPES)))
+    return apart.where(F.col("d__") <= r * r).withColumn("distance", F.sqrt("d__")).drop("d__")
+
+
 def match_knn(set1: DataFrame, set2: DataFrame, k: int = 3, error_range: float = 150.0, max_distance: float | None = None) -> DataFrame:
-    """Every set2 shape with ``matches``: its k nearest set1 shapes among those whose bounds, grown by ``error_range``, meet its own; by distance, then payload."""
+    """Every set2 shape with ``matches``: its k nearest set1 shapes among those whose bounds, grown by ``error_range``, meet its own; by distance, then payload.
+
+    Points search lines outwards, cell by cell; areas, and shapes that are no points, meet all candidates. Payloads name shapes.
+    """
     _positive(k)
-    edges = shape_pairs(set1, set2, error_range).withColumn("edge", F.explode(edges_of(F.col("l_coords"))))
-    near = edges.withColumn("d2", edge_squared(F.col("edge"), *map(F.col, _SHAPES))).groupBy("r_payload", "l_payload").agg(F.min("d2").alias("d2"))
+    dot = F.size("coords") == 1
+    lines, dots = set1.where(~F.col("area")), set2.where(dot)
+    near = _near_lines(lines, dots, k, error_range, max_distance)
+    if not (zones := set1.where("area")).isEmpty():
+        near = near.unionByName(_near_shapes(zones, dots, error_range))
+    if not (others := set2.where(~dot)).isEmpty():
+        near = near.unionByName(_near_shapes(set1, others, error_range))
     if max_distance is not None:
         near = near.where(F.col("d2") <= max_distance * max_distance)
     order = Window.partitionBy("r_payload").orderBy("d2", "l_payload")
     return _matches(set2, near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("distance", F.sqrt("d2")))
 
 
+def _near_shapes(set1: DataFrame, set2: DataFrame, error_range: float) -> DataFrame:
+    """Squared distances of all pairs whose bounds meet, edge by edge."""
+    edges = shape_pairs(set1, set2, error_range).withColumn("edge", F.explode(edges_of(F.col("l_coords"))))
+    return edges.withColumn("d2", edge_squared(F.col("edge"), *map(F.col, _SHAPES))).groupBy("r_payload", "l_payload").agg(F.min("d2").alias("d2"))
+
+
+def _near_lines(lines: DataFrame, dots: DataFrame, k: int, error_range: float, max_distance: float | None, rounds: int = 3) -> DataFrame:
+    """At least the k nearest lines of each point, if so many have bounds that hold it.
+
+    Segments are dealt to the cells that they pass, points to the nine around their own: every segment within a cell's width of a point is among those.
+    A point with k lines within that width is done; the others search cells four times as wide. Those left after the last round, mostly points with few lines about them, meet all candidates.
+    """
+    at = dots.select(F.col("payload").alias("r_payload"), F.col("coords")[0]["x"].alias("px"), F.col("coords")[0]["y"].alias("py")).where(finite("px", "py"))
+    e = at.agg(F.count("*"), F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    if not e[0]:
+        return _near_shapes(lines.limit(0), dots.limit(0), error_range)
+    box = Box.of("bx1", "by1", "bx2", "by2")
+    cut = lines.select(F.col("payload").alias("l_payload"), *[c.alias(n) for n, c in zip(("bx1", "by1", "bx2", "by2"), coords_box(F.col("coords"), error_range), strict=True)], F.explode(edges_of(F.col("coords"))).alias("s"))
+    dx, dy = e[2] - e[1], e[4] - e[3]
+    width, out = max(math.sqrt(dx * dy / (9 * e[0])), max(dx, dy) / (9 * e[0])) or 1.0, None
+    for _ in range(rounds):
+        cell = lambda v, w=width: F.floor(v / w).cast("long")
+        within = tuple(math.floor(v / width) + d for v, d in ((e[1], -1), (e[3], -1), (e[2], 1), (e[4], 1)))
+        passed = cut.withColumn("c", F.explode(segment_cells(F.col("s"), width, within))).withColumns({"cx": F.col("c.cx"), "cy": F.col("c.cy")}).drop("c")
+        asked = at.withColumn("c", F.explode(neighbours(cell(F.col("px")), cell(F.col("py"))))).withColumns({"cx": F.col("c.cx"), "cy": F.col("c.cy")}).drop("c")
+        d2 = segment_point_squared(F.col("s"), "px", "py", compiled=True)
+        met = asked.join(passed, ["cx", "cy"]).where(box.contains("px", "py")).withColumn("d2", d2).where(F.col("d2") <= (width * (1 - 1e-6)) ** 2)
+        order = Window.partitionBy("r_payload").orderBy("d2", "l_payload")
+        first = met.groupBy("r_payload", "l_payload").agg(F.min("d2").alias("d2")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        first = written(first, "near")
+        enough = max_distance is not None and max_distance <= width * (1 - 1e-6)
+        done = first.select("r_payload").distinct() if enough else first.where(F.col("rank") == k).select("r_payload")
+        found = first.drop("rank") if enough else first.join(done, "r_payload", "left_semi").drop("rank")
+        out = found if out is None else out.unionByName(found)
+        if enough:
+            return out
+        at = written(at.join(done, "r_payload", "left_anti"), "asking")
+        if at.isEmpty():
+            return out
+        width *= 4
+    rest = dots.join(at.select(F.col("r_payload").alias("payload")), "payload", "left_semi")
+    return out.unionByName(_near_shapes(lines, rest, error_range))
+
+
 def match_distance(set1: DataFrame, set2: DataFrame, k: int = 3, max_distance: float = 150.0, error_range: float = 150.0) -> DataFrame:
     """``match_knn`` within ``max_distance``."""
     return match_knn(set1, set2, k, max(error_range, max_distance), max_distance)
 
 
-def zknn_join(left: DataFrame, right: DataFrame, k: int, shifts: int = 2, seed: int = 1, bits: int = 20) -> DataFrame:
-    """Approximate nearest neighbours: candidates are the k before and after in Z order, for each of ``shifts`` seeded shifts, ranked by distance.
+def zknn_join(left: DataFrame, right: DataFrame, k: int, shifts: int = 2, seed: int = 1, bits: int = 20, range_rows: int = 100_000, spare: int = 2) -> DataFrame:
+    """Approximate nearest neighbours: candidates are the ``spare * k`` before and after in Z order, for each of ``shifts`` seeded shifts, ranked by distance.
 
-    Z order is cut into ranges of about equal counts; a range also sees its neighbours' ends, so each window sorts a bounded part.
+    Z order is cut into ranges of about ``range_rows`` rows; a range also sees the ends of those around it, as far as it takes, so each window sorts a bounded part.
     """
     from terrella.functions.curves import morton
 
     _positive(k)
     l, r = valid(prefixed(left, "l_"), "l_x", "l_y"), valid(prefixed(right, "r_"), "r_x", "r_y")
-    e = l.select(F.col("l_x").alias("x"), F.col("l_y").alias("y")).unionByName(r.select(F.col("r_x").alias("x"), F.col("r_y").alias("y"))).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    e = l.select(F.col("l_x").alias("x"), F.col("l_y").alias("y")).unionByName(r.select(F.col("r_x").alias("x"), F.col("r_y").alias("y"))).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
     if e[0] is None:
-        return l.crossJoin(r).limit(0)
-    size = max(e[1] - e[0], e[3] - e[2]) or 1.0
+        return no_pairs(l, r, T.StructField("rank", T.IntegerType()), T.StructField("distance", T.DoubleType()))
+    size, reach, ranges = max(e[1] - e[0], e[3] - e[2]) or 1.0, spare * k, -(-e[4] // range_rows)
     rng, found = np.random.default_rng(seed), None
+    left_type, right_type = (d.select(F.struct(*d.columns).alias("s")).schema["s"].dataType for d in (l, r))
     for _ in range(shifts):
         ox, oy = (rng.random(2) * size).tolist()
         z = lambda x, y, ox=ox, oy=oy: morton(F.floor((F.col(x) - e[0] + ox) / (2 * size) * ((1 << bits) - 1)), F.floor((F.col(y) - e[2] + oy) / (2 * size) * ((1 << bits) - 1)), bits)
-        both = l.select(F.struct(*l.columns).alias("l"), F.lit(None).cast(r.select(F.struct(*r.columns).alias("s")).schema["s"].dataType).alias("r"), z("l_x", "l_y").alias("z")).unionByName(r.select(F.lit(None).cast(l.select(F.struct(*l.columns).alias("s")).schema["s"].dataType).alias("l"), F.struct(*r.columns).alias("r"), z("r_x", "r_y").alias("z")))
-        cuts = both.where("r is not null").select(F.percentile_approx("z", [i / 16 for i in range(1, 16)], 1000)).first()[0] or []
+        both = l.select(F.struct(*l.columns).alias("l"), F.lit(None).cast(right_type).alias("r"), z("l_x", "l_y").alias("z")).unionByName(r.select(F.lit(None).cast(left_type).alias("l"), F.struct(*r.columns).alias("r"), z("r_x", "r_y").alias("z")))
+        cuts = (both.select(F.percentile_approx("z", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []) if ranges > 1 else []
         part = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]), lambda c: F.col("z") > c)) if cuts else F.lit(0)
         parted = both.withColumn("part", part)
-        edge = parted.where("r is not null")
-        first = edge.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("z"))).where(F.col("i") <= k).withColumn("part", F.col("part") - 1).drop("i")
-        last = edge.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("z")))).where(F.col("i") <= k).withColumn("part", F.col("part") + 1).drop("i")
-        line = parted.unionByName(first).unionByName(last)
+        line = parted.unionByName(_borders(parted, reach)) if cuts else parted
         order = Window.partitionBy("part").orderBy("z", F.col("r.r_id"))
         step = line.withColumn("n", F.count("r").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         spots = step.where("r is not null").select("part", "n", "r")
-        wanted = step.where("l is not null").select("part", "l", F.explode(F.sequence(F.col("n") - (k - 1), F.col("n") + k)).alias("n"))
+        wanted = step.where("l is not null").select("part", "l", F.explode(F.sequence(F.col("n") - (reach - 1), F.col("n") + reach)).alias("n"))
         near = wanted.join(spots, ["part", "n"]).select("l.*", "r.*")
         found = near if found is None else found.unionByName(near)
     pairs = found.distinct().withColumn("d__", squared_distance("l_x", "l_y", "r_x", "r_y"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("l_id").orderBy("d__", "r_id"))).where(F.col("rank") <= k).withColumn("distance", F.sqrt("d__")).drop("d__")
 
 
+def _borders(parted: DataFrame, reach: int) -> DataFrame:
+    """Right rows for ranges that are not their own: the ``reach`` before each range's begin and after its end, from as many ranges as that takes. Only the ends of ranges, ``reach`` rows each, meet in one window."""
+    rows, out = parted.where("r is not null"), None
+    up, down = ([f(c) for c in ("part", "z", "r.r_id")] for f in (F.asc, F.desc))
+    for order, last in ((up, down), (down, up)):
+        ends = rows.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(*last[1:]))).where(F.col("i") <= reach).drop("i")
+        at = ends.withColumn("m", F.row_number().over(Window.orderBy(*order)))
+        tops = parted.select("part").distinct().join(at.groupBy("part").agg(F.max("m").alias("top")), "part", "left")
+        before = F.coalesce(F.max("top").over(Window.orderBy(order[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        begins = tops.select(F.col("part").alias("to"), before.alias("s"))
+        reached = at.withColumn("s", F.explode(F.sequence(F.col("m"), F.col("m") + (reach - 1)))).join(begins, "s").select("l", "r", "z", F.col("to").alias("part"))
+        out = reached if out is None else out.unionByName(reached)
+    return out
+
+
 def compare_join(key: DataFrame, other: DataFrame, on: str = "key") -> DataFrame:
     """Full outer join of two result tables by key; null-safe, so null keys meet."""
     return key.alias("a").join(other.alias("b"), F.col(f"a.{on}").eqNullSafe(F.col(f"b.{on}")), "full_outer")

@@ -16,8 +16,14 @@ def _predicate(df: DataFrame, where: Predicate | None) -> DataFrame:
     return df if where is None else df.where(where(df) if callable(where) and not isinstance(where, Column) else where)
 
 
-def range_filter(df: DataFrame, low: Sequence[float], high: Sequence[float], keys: Sequence[str] = ("x", "y"), where: Predicate | None = None) -> DataFrame:
-    """Rows whose keys lie between low and high in every dimension, and that pass ``where``."""
+def _squared(keys: Sequence[str], point: Sequence[float]) -> Column:
+    total = F.lit(0.0)
+    for key, c in zip(keys, point, strict=True):
+        total = total + (F.col(key) - float(c)) * (F.col(key) - float(c))
+    return total
+
+
+def _within(low: Sequence[float], high: Sequence[float], keys: Sequence[str]) -> Column:
     if len(low) != len(high) or len(low) != len(keys):
         raise ValueError("low, high and keys differ in length")
     if any(a > b for a, b in zip(low, high, strict=True)):
@@ -25,14 +31,17 @@ def range_filter(df: DataFrame, low: Sequence[float], high: Sequence[float], key
     found = F.lit(True)
     for key, a, b in zip(keys, low, high, strict=True):
         found &= F.col(key).between(float(a), float(b))
-    return _predicate(df.where(found), where)
+    return found
+
+
+def range_filter(df: DataFrame, low: Sequence[float], high: Sequence[float], keys: Sequence[str] = ("x", "y"), where: Predicate | None = None) -> DataFrame:
+    """Rows whose keys lie between low and high in every dimension, and that pass ``where``."""
+    return _predicate(df.where(_within(low, high, keys)), where)
 
 
 def circle_filter(df: DataFrame, centre: Sequence[float], r: float, keys: Sequence[str] = ("x", "y"), where: Predicate | None = None) -> DataFrame:
     """Rows within ``r`` of the centre; the bounding box goes to the scan as well."""
-    total = F.lit(0.0)
-    for key, c in zip(keys, centre, strict=True):
-        total = total + (F.col(key) - float(c)) * (F.col(key) - float(c))
+    total = _squared(keys, centre)
     boxed = range_filter(df, [c - abs(r) for c in centre], [c + abs(r) for c in centre], keys)
     return _predicate(boxed.where(total <= r * r), where)
 
@@ -44,19 +53,25 @@ def circles_filter(df: DataFrame, circles: Sequence[tuple[float, float, float]])
     return df
 
 
-def knn_filter(df: DataFrame, point: Sequence[float], k: int, keys: Sequence[str] = ("x", "y"), id_col: str = "id", where: Predicate | None = None, keep_ties: bool = False) -> DataFrame:
-    """The k rows nearest to the point, by distance and id, with ``distance``; ``where`` comes before ranking. ``keep_ties`` adds all rows as near as the k-th."""
+def selective_range(df: DataFrame, low: Sequence[float], high: Sequence[float], most: float, keys: Sequence[str] = ("x", "y")) -> DataFrame:
+    """``range_filter`` where at most the share ``most`` of all rows lies in the box, else no rows: a caller then scans instead."""
+    inside = _within(low, high, keys)
+    share = df.agg(F.avg(F.coalesce(inside, F.lit(False)).cast("double"))).scalar()
+    return df.where(inside & (share <= most))
+
+
+def knn_filter(df: DataFrame, point: Sequence[float], k: int, keys: Sequence[str] = ("x", "y"), id_col: str = "id", where: Predicate | None = None, keep_ties: bool = False, metric: Column | None = None) -> DataFrame:
+    """The k rows nearest to the point, by distance and id, with ``distance``; ``where`` comes before ranking. ``keep_ties`` adds all rows as near as the k-th.
+
+    ``metric`` is any distance in place of the Euclidean one; ``point`` is then not looked at.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
-    total = F.lit(0.0)
-    for key, c in zip(keys, point, strict=True):
-        total = total + (F.col(key) - float(c)) * (F.col(key) - float(c))
-    ranked = _predicate(df.where(finite(*keys)), where).withColumn("d__", total)
+    ranked = _predicate(df.where(finite(*keys)), where).withColumn("d__", _squared(keys, point) if metric is None else metric)
     best = ranked.orderBy("d__", id_col).limit(k)
     if keep_ties:
-        kth = best.agg(F.max("d__").alias("kth__"))
-        best = ranked.join(F.broadcast(kth), F.col("d__") <= F.col("kth__")).drop("kth__")
-    return best.withColumn("distance", F.sqrt("d__")).drop("d__")
+        best = ranked.where(F.col("d__") <= best.agg(F.max("d__")).scalar())
+    return best.withColumn("distance", F.sqrt("d__") if metric is None else F.col("d__")).drop("d__")
 
 
 def knn_filter_nd(df: DataFrame, point: Sequence[float], k: int, key: str, id_col: str) -> DataFrame:
@@ -71,39 +86,48 @@ def knn_filter_nd(df: DataFrame, point: Sequence[float], k: int, key: str, id_co
 class Where:
     """A predicate over a base table that may hold nearest-neighbour conditions; each of those sees the whole base table.
 
-    ``&``, ``|`` and ``~`` are intersection, union and difference of row ids; rows stay a bag.
+    ``&``, ``|`` and ``~`` join conditions on the row itself, so rows stay a bag, and null and repeated ids are rows like any other. A nearest-neighbour condition is a
+    comparison with the k-th row's distance and id, which a scalar subquery finds; rows that equal the k-th in both are all taken.
     """
 
-    def __init__(self, ids: Callable[[DataFrame, str], DataFrame], plain: Callable[[DataFrame], DataFrame] | None = None) -> None:
-        self.ids, self.plain = ids, plain
+    def __init__(self, condition: Callable[[DataFrame, str], Column]) -> None:
+        self.condition = condition
 
     @classmethod
     def column(cls, condition: Column) -> Where:
-        return cls(lambda df, key: df.where(condition).select(key), lambda df: df.where(condition))
+        return cls(lambda df, key: condition)
 
     @classmethod
     def knn(cls, point: Sequence[float], k: int, keys: Sequence[str] = ("x", "y")) -> Where:
-        return cls(lambda df, key: knn_filter(df, point, k, keys, key).select(key))
+        if k <= 0:
+            raise ValueError("k must be positive")
+
+        def nearest_k(df: DataFrame, key: str) -> Column:
+            place = F.struct(_squared(keys, point).alias("d"), F.col(key).alias("id"))
+            kth = df.where(finite(*keys)).select(place.alias("p")).orderBy("p").limit(k).agg(F.max("p")).scalar()
+            return finite(*keys) & (place <= kth)
+
+        return cls(nearest_k)
 
     @classmethod
     def range(cls, low: Sequence[float], high: Sequence[float], keys: Sequence[str] = ("x", "y")) -> Where:
-        return cls(lambda df, key: range_filter(df, low, high, keys).select(key), lambda df: range_filter(df, low, high, keys))
+        return cls(lambda df, key: _within(low, high, keys))
 
     @classmethod
     def circle(cls, centre: Sequence[float], r: float, keys: Sequence[str] = ("x", "y")) -> Where:
-        return cls(lambda df, key: circle_filter(df, centre, r, keys).select(key), lambda df: circle_filter(df, centre, r, keys))
+        return cls(lambda df, key: _within([c - abs(r) for c in centre], [c + abs(r) for c in centre], keys) & (_squared(keys, centre) <= r * r))
 
     def __and__(self, other: Where) -> Where:
-        return Where(lambda df, key: self.ids(df, key).join(other.ids(df, key), key, "left_semi"))
+        return Where(lambda df, key: self.condition(df, key) & other.condition(df, key))
 
     def __or__(self, other: Where) -> Where:
-        return Where(lambda df, key: self.ids(df, key).union(other.ids(df, key)).distinct())
+        return Where(lambda df, key: F.coalesce(self.condition(df, key), F.lit(False)) | F.coalesce(other.condition(df, key), F.lit(False)))
 
     def __invert__(self) -> Where:
-        return Where(lambda df, key: df.select(key).join(self.ids(df, key), key, "left_anti"))
+        return Where(lambda df, key: ~F.coalesce(self.condition(df, key), F.lit(False)))
 
     def apply(self, df: DataFrame, id_col: str = "id") -> DataFrame:
-        return self.plain(df) if self.plain else df.join(self.ids(df, id_col), id_col, "left_semi")
+        return df.where(self.condition(df, id_col))
 
 
 def text_range_filter(df: DataFrame, low: Sequence[float], high: Sequence[float], text: str, words: Sequence[str], exact: Sequence[str] = ()) -> DataFrame:
@@ -137,6 +161,11 @@ def count_in(df: DataFrame, low: Sequence[float], high: Sequence[float]) -> Data
     return range_filter(df, low, high).agg(F.count("*").alias("n"))
 
 
+def fold_in(df: DataFrame, low: Sequence[float], high: Sequence[float], *aggregates: Column) -> DataFrame:
+    """Any aggregates over the rows in the box, folded in each task first."""
+    return range_filter(df, low, high).agg(*aggregates)
+
+
 def shapes_in(df: DataFrame, box: Box, low: Sequence[float], high: Sequence[float]) -> DataFrame:
     """Rows whose own boxes meet the box."""
     return df.where(box.intersects(Box.of(float(low[0]), float(low[1]), float(high[0]), float(high[1]))))

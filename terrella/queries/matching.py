@@ -10,6 +10,10 @@ from terrella.queries.tables import Tables
 from terrella.sources import parsers
 
 
+#: Shifts of the registered approximate join; its recall against the exact one is tested.
+ZKNN_SHIFTS = 4
+
+
 def _of(body):  # noqa: ANN001, ANN202
     return lambda spark, sf_dir: body(Tables(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def _polygons(t: Tables) -> DataFrame:
     return near.where(polygon_contains(F.col("l_coords"), F.col("r_coords")[0]["x"], F.col("r_coords")[0]["y"])).select(F.col("l_payload").alias("polygon"), F.col("r_payload").cast("long").alias("point"))
 
 
-def _line_sets(t: Tables) -> tuple[DataFrame, DataFrame]:
+def line_sets(t: Tables) -> tuple[DataFrame, DataFrame]:
     lines = parsers.shapes(t.lines().withColumnRenamed("id", "payload"), "line")
     return lines, parsers.shapes(t.customer().withColumnRenamed("id", "payload"), "point")
 
@@ -58,7 +62,7 @@ def _listed(df: DataFrame) -> DataFrame:
     return df.select(F.col("payload").cast("long").alias("point"), F.posexplode("matches").alias("place", "m")).select("point", (F.col("place") + 1).cast("long").alias("rank"), F.col("m.payload").alias("line"), F.round("m.distance", 4).alias("distance"))
 
 
-_LINE = """, seg AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM line_segments WHERE x2 IS NOT NULL),
+LINE_MATCH = """, seg AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM line_segments WHERE x2 IS NOT NULL),
 box AS (SELECT id, min(x) - 150 AS xmin, min(y) - 150 AS ymin, max(x) + 150 AS xmax, max(y) + 150 AS ymax FROM line_points WHERE c >= 2 GROUP BY id),
 cand AS (SELECT b.id AS line, p.id AS point, p.x AS px, p.y AS py FROM box b, customer_pts p WHERE p.x BETWEEN xmin AND xmax AND p.y BETWEEN ymin AND ymax),
 dist AS (SELECT line, point, min(ex * ex + ey * ey) AS d2 FROM (SELECT line, point, px - x1 - t * dx AS ex, py - y1 - t * dy AS ey FROM (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy))) END AS t FROM cand JOIN seg ON line = id)) GROUP BY line, point),
@@ -66,13 +70,6 @@ ranked AS (SELECT point, row_number() OVER (PARTITION BY point ORDER BY d2, CAST
 SELECT point, rank, line, round(d, 4) AS distance FROM ranked WHERE rank <= 3"""
 
 
-def _range_lines(t: Tables) -> DataFrame:
-    """Lines that intersect each nation's polygon."""
-    lines, _ = _line_sets(t)
-    areas = t.polygons().select(F.col("id").cast("string").alias("payload"), F.col("ring").alias("coords"), F.lit(True).alias("area"))
-    return joins.match_range(lines, areas).select("payload", F.size("matches").cast("long").alias("n"), F.array_join(F.transform("matches", lambda m: m["payload"]), ",").alias("lines"))
-
-
 def _times(t: Tables) -> DataFrame:
     e = t.event()
     pick = lambda kind: e.where(F.col("kind") == kind).select("id", "x", "y", "ts")
@@ -95,6 +92,14 @@ def _nd(t: Tables) -> DataFrame:
     return joins.knn_join_nd(e.where("vec_id % 50 = 0"), e, 5, "embedding", "embedding", "vec_id", "vec_id").select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 5).alias("distance"))
 
 
+def _solid(t: Tables) -> DataFrame:
+    """Pairs that are near in the first four dimensions."""
+    e = t.read("embeddings").select(F.col("vec_id").cast("long").alias("id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("abcd")])
+    return _pairs(joins.distance_join(e, e, 0.1, ("a", "b", "c", "d")))
+
+
+_SOLID_D2 = "(" + " + ".join(f"(l.{c} - r.{c}) * (l.{c} - r.{c})" for c in "abcd") + ")"
+_SOLID_SQL = f", e AS (SELECT vec_id, {', '.join(f'embedding[{i}]::DOUBLE AS {c}' for i, c in enumerate('abcd', 1))} FROM embeddings) SELECT l.vec_id AS l_id, r.vec_id AS r_id, round(sqrt({_SOLID_D2}), 6) AS distance FROM e l, e r WHERE {_SOLID_D2} <= 0.1::DOUBLE * 0.1::DOUBLE"
 _ND_SQL = """, p AS (SELECT q.vec_id AS query, d.vec_id AS id, list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d2 FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0)
 SELECT query, id, rank, round(sqrt(d2), 5) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, id) AS rank FROM p) WHERE rank <= 5"""
 
@@ -106,10 +111,11 @@ QUERIES = {
     "all_knn_join": (_of(lambda t: joins.all_knn_join(t.supplier(), t.customer(), 3).select("side", "l_id", "r_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))), _knn_sql("supplier_pts", "customer_pts", 3, tag=", 'ab' AS side") + " UNION ALL " + _knn_sql("customer_pts", "supplier_pts", 3, tag=", 'ba' AS side")),
     "knn_join_filtered": (_of(lambda t: _flat(joins.knn_join(t.supplier(), t.customer_text(), 3, where=F.col("text") == "BUILDING"))), _knn_sql("supplier_pts", "customer_pts", 3, "r.text = 'BUILDING'")),
     "knn_join_nd": (_of(_nd), _ND_SQL),
-    "zknn_join": (_of(lambda t: joins.zknn_join(t.customer(), t.order(), 5).select("l_id", "r_id", "rank", "distance")), None),
+    "zknn_join": (_of(lambda t: joins.zknn_join(t.customer(), t.order(), 5, shifts=ZKNN_SHIFTS).select("l_id", "r_id", "rank", "distance")), None),
     "distance_join": (_of(lambda t: _pairs(joins.distance_join(t.supplier(), t.customer(), 500.0))), _DIST.format(l="supplier_pts", r="customer_pts", r2=250000)),
     "distance_self_join": (_of(lambda t: _pairs(joins.distance_join(t.part(), t.part(), 3.0))), _DIST.format(l="part_pts", r="part_pts", r2=9)),
     "distance_join_orders": (_of(lambda t: joins.distance_join(t.order(), t.order(), 100.0).agg(F.count("*").alias("n"), F.count_distinct("l_id").alias("ids"))), ", p AS (" + _DIST.format(l="order_pts", r="order_pts", r2=10000) + ") SELECT count(*) AS n, count(DISTINCT l_id) AS ids FROM p"),
+    "distance_join_nd": (_of(_solid), _SOLID_SQL),
     "zero_distance_join": (_of(lambda t: _pairs(joins.distance_join(t.part(), t.part(), 0.0))), "SELECT l.id AS l_id, r.id AS r_id, 0.0::DOUBLE AS distance FROM part_pts l JOIN part_pts r ON l.x = r.x AND l.y = r.y"),
     "semi_join_boxes": (_of(lambda t: joins.semi_join(t.customer(), t.boxes())), "SELECT id, x, y " + _INSIDE.format(no="")),
     "anti_join_boxes": (_of(lambda t: joins.semi_join(t.customer(), t.boxes(), anti=True)), "SELECT id, x, y " + _INSIDE.format(no="NOT")),
@@ -118,8 +124,7 @@ QUERIES = {
     "range_join_sum": (_of(lambda t: _aggregate(t, F.coalesce(F.sum(F.round(F.col("l_x") * 100).cast("long")), F.lit(0)).alias("cents"), F.min("l_x").alias("least"))), f"SELECT b.id, CAST(coalesce(sum(CAST(round(c.x * 100) AS BIGINT)), 0) AS BIGINT) AS cents, min(c.x) AS least {_IN}"),
     "range_join_collect": (_of(_collect), f"SELECT b.id, coalesce(string_agg(CAST(c.id AS VARCHAR), ',' ORDER BY c.id), '') AS ids {_IN}"),
     "poly_contains_join": (_of(_polygons), "SELECT p.id AS polygon, c.id AS point FROM nation_polys p, customer_pts c WHERE abs(c.x - cx) / 600 + abs(c.y - cy) / 900 < 1"),
-    "line_map_match_knn": (_of(lambda t: _listed(joins.match_knn(*_line_sets(t), k=3))), _LINE.format(where="TRUE")),
-    "line_map_match_distance": (_of(lambda t: _listed(joins.match_distance(*_line_sets(t), k=3, max_distance=100.0))), _LINE.format(where="d2 <= 10000")),
-    "line_range_join": (_of(_range_lines), None),
+    "line_map_match_knn": (_of(lambda t: _listed(joins.match_knn(*line_sets(t), k=3))), LINE_MATCH.format(where="TRUE")),
+    "line_map_match_distance": (_of(lambda t: _listed(joins.match_distance(*line_sets(t), k=3, max_distance=100.0))), LINE_MATCH.format(where="d2 <= 10000")),
     "spatiotemporal_match": (_of(_times), _TIME_SQL),
 }

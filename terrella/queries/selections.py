@@ -64,19 +64,6 @@ d AS (SELECT *, (px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy) AS
 SELECT id, n, round(sqrt(d2), 6) AS to_point, d2 <= 4000000 AS meets_circle, round(greatest(0.0::DOUBLE, sqrt(d2) - 2000), 6) AS to_circle, round(least(x1, x2), 6) AS xmin, round(greatest(y1, y2), 6) AS ymax FROM d"""
 
 
-def _polygon_points(t: Tables) -> DataFrame:
-    points = t.customer().select(F.col("id").alias("cust"), F.col("x").alias("px"), F.col("y").alias("py"))
-    return points.crossJoin(F.broadcast(t.polygons())).select("id", "cust", F.round(G.polygon_point_distance(F.col("ring"), "px", "py"), 4).alias("distance"))
-
-
-def _shape_matrix(t: Tables) -> DataFrame:
-    """Distances of pairs of kinds around each supplier."""
-    here = {"point": ("x", "y"), "segment": ("x", "y", F.col("x") + 300, F.col("y") + 400), "box": ("x", "y", F.col("x") + 500, F.col("y") + 500), "circle": ("x", "y", 250.0), "polygon": (G.Box.of("x", "y", F.col("x") + 200, F.col("y") + 700).ring(),)}
-    there = {"point": (4000.0, 4000.0), "segment": (4000.0, 4000.0, 4500.0, 5000.0), "box": (3000.0, 3000.0, 5000.0, 5000.0), "circle": (4000.0, 4000.0, 500.0), "polygon": (G.Box.of(3500.0, 3500.0, 4500.0, 6000.0).ring(),)}
-    pairs = (("point", "polygon"), ("segment", "segment"), ("circle", "circle"))
-    return t.supplier().select("id", *[F.round(G.min_distance((a, here[a]), (b, there[b])), 6).alias(f"{a}_{b}") for a, b in pairs])
-
-
 def _hilbert(t: Tables) -> DataFrame:
     at = t.order().select("id", curves.cell("x", 40.0).alias("cx"), curves.cell("y", 40.0).alias("cy"))
     return at.select("id", "cx", "cy", curves.hilbert("cx", "cy", 256).alias("h"))
@@ -88,7 +75,7 @@ def _hilbert_roundtrip(t: Tables) -> DataFrame:
     return h.where("h >= 0").select("id", x.alias("cx"), y.alias("cy"), F.size(curves.hilbert_neighbours("h", 256)).cast("long").alias("around"))
 
 
-def _steps(n: int) -> str:
+def steps(n: int) -> str:
     """Hilbert index by one select for each bit."""
     out, size, prev = ", h0 AS (SELECT id, cx, cy, cx AS x, cy AS y, 0::BIGINT AS d FROM g)", n, 0
     while size > 1:
@@ -100,6 +87,13 @@ def _steps(n: int) -> str:
     return out + f" SELECT id, cx, cy, CASE WHEN cx < 0 OR cy < 0 OR cx >= {n} OR cy >= {n} THEN -1 ELSE d END::BIGINT AS h FROM h{prev}"
 
 
+def lonlat_sql(n: int) -> str:
+    """Hilbert index of degrees, and the middle of its cell."""
+    cells = f", g AS (SELECT id, greatest(0, least({n - 1}, CAST(floor((x / 100 + 180) / 360 * {n}) AS BIGINT))) AS cx, greatest(0, least({n - 1}, CAST(floor((y / 200 + 90) / 180 * {n}) AS BIGINT))) AS cy FROM customer_pts)"
+    indexed = steps(n).replace(" SELECT id, cx, cy, CASE", ", c AS (SELECT id, cx, cy, CASE", 1) + ")"
+    return cells + indexed + f" SELECT id, h, (cx + 0.5::DOUBLE) / {n} * 360 - 180 AS lon, (cy + 0.5::DOUBLE) / {n} * 180 - 90 AS lat FROM c"
+
+
 _CELLS = ", g AS (SELECT id, CAST(floor(x / 40.0::DOUBLE) AS BIGINT) AS cx, CAST(floor(y / 40.0::DOUBLE) AS BIGINT) AS cy FROM order_pts)"
 _MORTON = _CELLS + " SELECT id, CAST(" + " + ".join(f"((((cx >> {b}) & 1) << {2 * b + 1}) + (((cy >> {b}) & 1) << {2 * b}))" for b in range(10)) + " AS BIGINT) AS z, cx, cy FROM g"
 
@@ -112,7 +106,13 @@ def _morton(t: Tables) -> DataFrame:
 
 def _utilities(t: Tables) -> DataFrame:
     both = util.spread("x", "y")
-    return t.order().select("id", F.round(util.log_base(F.col("x"), 2.0), 6).alias("log2"), util.nth_index(F.col("x").cast("string"), ".", 1).cast("long").alias("dot"), util.half_up("x").alias("whole"), both["least"].alias("least"), both["most"].alias("most"), both["apart"].alias("apart"))
+    return t.order().select("id", F.round(util.log_base(F.col("x"), 2.0), 6).alias("log2"), util.nth_index(F.col("x").cast("string"), ".", 1).cast("long").alias("dot"), util.half_up("x").alias("whole"), util.floor_text(F.col("x").cast("decimal(12,2)").cast("string")).alias("floored"), F.lit(util.size_bytes("1.5g")).alias("size"), both["least"].alias("least"), both["most"].alias("most"), both["apart"].alias("apart"))
+
+
+def _lookup(t: Tables) -> DataFrame:
+    """All parts at the locations of three of them."""
+    at = t.part().where(F.col("id").isin(1, 7, 42)).select("x", "y").collect()
+    return select.lookup(t.part(), [(r["x"], r["y"]) for r in at]).select("id", "x", "y")
 
 
 _XYD = "(x - 5000) * (x - 5000) + (y - 4800) * (y - 4800)"
@@ -133,19 +133,19 @@ QUERIES = {
     "knn_filtered": (_of(lambda t: select.knn_filter(t.customer_text(), (5000, 4800), 10, where=F.col("text") == "BUILDING").select("id", F.round("distance", 6).alias("distance"))), f"SELECT id, round(sqrt({_XYD}), 6) AS distance FROM customer_pts WHERE text = 'BUILDING' ORDER BY {_XYD}, id LIMIT 10"),
     "nearest_one": (_of(lambda t: select.nearest(t.order(), (5000, 4800)).select("id")), f"SELECT id FROM order_pts ORDER BY {_XYD}, id LIMIT 1"),
     "key_rank": (_of(lambda t: select.rank_of(t.part(), "y", 1200.0)), "SELECT count(*) AS rank FROM part_pts WHERE y <= 1200"),
-    "point_lookup": (_of(lambda t: select.lookup(t.part(), [(1, 901.0), (25, 925.0), (7, 907.0)]).select("id", "x", "y")), "SELECT id, x, y FROM part_pts WHERE (x = 1 AND y = 901) OR (x = 25 AND y = 925) OR (x = 7 AND y = 907)"),
+    "point_lookup": (_of(_lookup), "SELECT id, x, y FROM part_pts p WHERE EXISTS (SELECT 1 FROM part_pts q WHERE q.id IN (1, 7, 42) AND q.x = p.x AND q.y = p.y)"),
+    "selective_range": (_of(lambda t: select.selective_range(t.customer(), (0, 1000), (2000, 4000), 0.5).withColumn("of", F.lit("few")).unionByName(select.selective_range(t.customer(), (-1000, 0), (10000, 9600), 0.5).withColumn("of", F.lit("many")))), "SELECT id, x, y, 'few' AS of FROM customer_pts WHERE x BETWEEN 0 AND 2000 AND y BETWEEN 1000 AND 4000"),
+    "knn_metric": (_of(lambda t: select.knn_filter(t.customer(), (0, 0), 10, metric=F.abs(F.col("x") - 5000) + F.abs(F.col("y") - 4800)).withColumn("distance", F.round("distance", 6))), "SELECT id, x, y, round(abs(x - 5000) + abs(y - 4800), 6) AS distance FROM customer_pts ORDER BY abs(x - 5000) + abs(y - 4800), id LIMIT 10"),
+    "fold_range": (_of(lambda t: select.fold_in(t.customer(), (0, 1000), (5000, 6000), F.count("*").alias("n"), F.max("id").alias("most"), F.sum(F.round(F.col("x") * 100).cast("long")).alias("cents"))), "SELECT count(*) AS n, max(id) AS most, CAST(sum(CAST(round(x * 100) AS BIGINT)) AS BIGINT) AS cents FROM customer_pts WHERE x BETWEEN 0 AND 5000 AND y BETWEEN 1000 AND 6000"),
     "boxes_in_range": (_of(lambda t: select.shapes_in(t.boxes(), G.Box.of(), (1000, 2000), (4000, 6000))), "SELECT * FROM supplier_boxes WHERE xmin <= 4000 AND xmax >= 1000 AND ymin <= 6000 AND ymax >= 2000"),
     "mbr_stats": (_of(lambda t: select.bounds(t.order())), "SELECT min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax, count(*) AS n FROM order_pts"),
     "cell_histogram": (_of(lambda t: aggregate.cell_histogram(t.order(), 500.0)), "SELECT CAST(floor(x / 500.0::DOUBLE) AS BIGINT) AS cx, CAST(floor(y / 500.0::DOUBLE) AS BIGINT) AS cy, count(*) AS n FROM order_pts GROUP BY 1, 2"),
     "box_measures": (_of(_box_measures), _BOX_SQL),
     "circle_measures": (_of(_circle_measures), _CIRCLE_SQL),
     "segment_measures": (_of(_segment_measures), _SEGMENT_SQL),
-    "poly_distance": (_of(_polygon_points), None),
-    "shape_distances": (_of(_shape_matrix), None),
-    "polygon_wkt": (_of(lambda t: t.polygons().select("id", G.to_wkt(F.col("ring")).alias("wkt"), F.hex(G.to_wkb(F.col("ring"))).alias("wkb"), (G.from_wkb(G.to_wkb(F.col("ring"))) == F.col("ring")).alias("same"))), None),
     "segments": (_of(lambda t: parsers.segments(t.lines())), "SELECT id, n, x1, y1, x2, y2 FROM line_segments WHERE x2 IS NOT NULL"),
-    "hilbert_index": (_of(_hilbert), _CELLS + _steps(256)),
+    "hilbert_index": (_of(_hilbert), _CELLS + steps(256)),
     "hilbert_roundtrip": (_of(_hilbert_roundtrip), _CELLS + " SELECT id, cx, cy, CAST(8 - 3 * ((cx IN (0, 255))::INTEGER + (cy IN (0, 255))::INTEGER) + ((cx IN (0, 255)) AND (cy IN (0, 255)))::INTEGER AS BIGINT) AS around FROM g WHERE cx BETWEEN 0 AND 255 AND cy BETWEEN 0 AND 255"),
     "morton_index": (_of(_morton), _MORTON),
-    "utilities": (_of(_utilities), "SELECT id, round(ln(x) / ln(2.0::DOUBLE), 6) AS log2, CAST(instr(CAST(x AS VARCHAR), '.') - 1 AS BIGINT) AS dot, CAST(floor(x + 0.5::DOUBLE) AS BIGINT) AS whole, least(x, y) AS least, greatest(x, y) AS most, abs(x - y) AS apart FROM order_pts"),
+    "utilities": (_of(_utilities), "SELECT id, round(ln(x) / ln(2.0::DOUBLE), 6) AS log2, CAST(instr(CAST(x AS VARCHAR), '.') - 1 AS BIGINT) AS dot, CAST(floor(x + 0.5::DOUBLE) AS BIGINT) AS whole, CAST(floor(CAST(x AS DECIMAL(12,2))) AS BIGINT) AS floored, 1500000000 AS size, least(x, y) AS least, greatest(x, y) AS most, abs(x - y) AS apart FROM order_pts"),
 }

@@ -35,8 +35,3 @@ def parse(arguments: list[Argument], words: list[str]) -> dict[str, Any]:
         raise ValueError(f"missing arguments: {', '.join(missing)}")
     return out
 
-
-#: Arguments of the map-matching program.
-MATCHING = [Argument("set1", required=True), Argument("set2", required=True), Argument("out", required=True), Argument("match_count", int, 3), Argument("match_distance", float, 150.0), Argument("error_range", float, 150.0)]
-#: Arguments of the nearest-neighbour program.
-NEIGHBOURS = [Argument("left", required=True), Argument("left_type", default="rand_point"), Argument("right", required=True), Argument("right_type", default="rand_point"), Argument("out", required=True), Argument("k", int, 10), Argument("both", bool, False)]
