@@ -6,11 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
 _swept: set[str] = set()
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,5 +48,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and survives a lost executor."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
+    for scope in _scopes:
+        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths of the tables written inside, in order."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
+def remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete written tables that no plan reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
