@@ -17,6 +17,12 @@ from terrella.llm.near_dedup import dropped, near_dedup
 from terrella.llm.quality_rules import quality_rules
 from terrella.llm.queries import RANKS
 from terrella.llm.store import fresh, save, small, with_rows
+from terrella.plans.written import remove, scratch
+
+
+#: Bits by which the fingerprints of near copies may differ: the widest that ``near_dedup`` takes. Over 9,296 distinct documents all pairs within 7 bits
+#: share most of their words, and no others come within; at 2 bits, op10's contract, a fifth to a third as many are found.
+NEAR_RADIUS = 7
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -31,25 +37,41 @@ def _without(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    Null and empty texts go, for want of words. Rows without a source form one host. Repeated rows share a fate; rows are told apart by file and
+    place, so null and equal ids do not matter. An empty table stays empty; other columns stay as they are, whatever their names.
+    """
     rows, key = _keyed(docs)
     return _without(rows, quality_rules(rows, carry=key).where("not kept").select(*key), key)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of equal texts one document stays: the one with the least id, of equal ids the first row; a null id loses to any other.
+
+    Texts are equal up to runs of white space; null counts as empty, so of null and empty texts one row stays. An empty table stays
+    empty; other columns stay as they are, whatever their names.
+    """
     rows, key = _keyed(docs)
     return _without(rows, exact_dedup(rows, carry=key).where("not kept").select(*key), key)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints one document stays."""
+    """Of each component of linked fingerprints one document stays: the one with the least id, of equal ids the first row; a null id loses to any other.
+
+    Fingerprints link at ``NEAR_RADIUS`` bits. Null and wordless texts have fingerprint zero, so one of them stays; repeated rows are one component. An empty
+    table stays empty; other columns stay as they are, whatever their names.
+    """
     rows, key = _keyed(docs)
-    return _without(rows, dropped(save(near_dedup(rows, carry=key), "near"), "doc_id", key), key)
+    return _without(rows, dropped(save(near_dedup(rows, carry=key, radius=NEAR_RADIUS), "near"), "doc_id", key), key)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture: sorted ranges of positions become the files that a loader reads in turn."""
+    """All documents in the order of the mixture: sorted ranges of positions become the files that a loader reads in turn.
+
+    Every row stays, null and empty texts, null ids and repeated rows too; a null source is a source of its own. An empty table stays empty; other
+    columns stay as they are, whatever their names.
+    """
     rows, key = _keyed(docs)
     (at,) = fresh(rows, "_position")
     placed = save(mix(rows, keep=key).select(*key, F.col("position").alias(at)), "placed")
@@ -57,7 +79,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text and digests of ids and decoded bytes, in the order of the files."""
+    """Token ids of every whole text and digests of ids and decoded bytes, in the order of the files.
+
+    Null and empty texts have no ids; null ids and sources are passed on; repeated rows are encoded alike. An empty table gives an empty
+    result; other columns are left out.
+    """
     return bpe(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=("doc_id", "source"), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
@@ -68,9 +94,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = save(docs, name)
-    return docs
+    """The last stage's rows. What a stage has written goes once the next stage's documents are written; only the last documents stay while they are read."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        with scratch() as tables:
+            docs = save(stage(spark, docs, sf_dir), name)
+        remove(spark, [*last, *tables[:-1]])
+        last = tables[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)

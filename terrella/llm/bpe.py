@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrella.llm.store import ship
+from terrella.llm.store import fresh, ship
 
-#: Pieces that one worker remembers during a task.
-CACHE = 250_000
+#: Bytes, about, of the pieces that one worker remembers during a task.
+CACHE_BYTES = 96 << 20
 
 
 def byte_characters() -> dict[int, str]:
@@ -61,6 +61,7 @@ class ByteBPE:
         self.bytes_of = {v: bytes(back[c] for c in k) for k, v in vocab.items()}
         self.digits = {v: str(v) for v in vocab.values()}
         self.known: dict[str, list[int]] = {}
+        self.held = 0
 
     def characters(self, data: bytes) -> str:
         return data.decode("latin-1").translate(self.table)
@@ -70,13 +71,26 @@ class ByteBPE:
         cut = self.pieces(text) if text.isascii() or not self.unsure(text) else [p for p, _ in self.splitter.pre_tokenize_str(text)]
         known = self.known
         if new := [p for p in set(cut) if p not in known]:
-            if len(known) + len(new) > CACHE:
-                known.clear()
+            size = self.cost(new)
+            if self.held + size > CACHE_BYTES:
+                self.forget()
                 new = list(set(cut))
+                size = self.cost(new)
+            self.held += size
             for piece, got in zip(new, self.tokenizer.encode_batch_fast([self.characters(p.encode()) for p in new], add_special_tokens=False), strict=True):
                 known[piece] = got.ids
         return list(chain.from_iterable(map(known.__getitem__, cut)))
 
+    @staticmethod
+    def cost(pieces: Sequence[str]) -> int:
+        """Bytes that pieces and their ids take: up to four for a character, eight for an id, and the objects around them."""
+        return 300 * len(pieces) + 12 * sum(map(len, pieces))
+
+    def forget(self) -> None:
+        """Empty the memory of pieces: between tasks, and when it would pass ``CACHE_BYTES``; a single text's pieces are held in any case."""
+        self.known.clear()
+        self.held = 0
+
     def decode(self, ids: Sequence[int]) -> bytes:
         """The bytes behind the ids; characters that tokens split come together again before anything reads them as UTF-8."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -117,12 +131,14 @@ def bpe(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: Se
     """The ``keep`` columns and the named ``OUTPUTS`` of every whole text.
 
     ``path`` must name the rank file on every executor. Null and empty texts have no ids and decode to no bytes; an
-    empty table gives an empty result; repeated rows are encoded like any other. No shuffle: a task
+    empty table gives an empty result; repeated rows are encoded like any other; a ``keep`` column named as an output stays, and the
+    output gets a longer name (``ids_``). No shuffle: a task
     holds one Arrow batch, and batches are bounded in rows and bytes.
     """
     ship(df.sparkSession)
     chosen = df.select(*keep, F.col(text_col).alias("text__"))
-    schema = T.StructType([*chosen.schema.fields[:-1], *[T.StructField(o, OUTPUTS[o][0]) for o in outputs]])
+    named = dict(zip(outputs, fresh(df.select(*keep), *outputs), strict=True))
+    schema = T.StructType([*chosen.schema.fields[:-1], *[T.StructField(named[o], OUTPUTS[o][0]) for o in outputs]])
     arrow = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "decoded": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +151,8 @@ def bpe(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: Se
                     ids = own.encode(text.as_py() or "")
                     for o in outputs:
                         got[o].append(OUTPUTS[o][1](own, ids))
-                fields = [*list(batch.schema)[:-1], *[pa.field(o, arrow[o]) for o in outputs]]
+                fields = [*list(batch.schema)[:-1], *[pa.field(named[o], arrow[o]) for o in outputs]]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(got[o], arrow[o]) for o in outputs]], schema=pa.schema(fields))
-        loaded(path, pattern).known.clear()  # an idle worker keeps the model but not the pieces of its last task
+        loaded(path, pattern).forget()  # an idle worker keeps the model but not the pieces of its last task
 
     return chosen.mapInArrow(run, schema)

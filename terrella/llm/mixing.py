@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrella.llm.store import numbered, save, ship, small
+from terrella.llm.store import fresh, numbered, save, ship, small
 
 
 def pfair(weights: Sequence[int]) -> list[tuple[int, int, int, int, int]]:
@@ -74,22 +74,24 @@ def schedule(blocks: Sequence[int], weights: Sequence[float]) -> Iterator[tuple[
             heapq.heappush(waiting, (passed(i, k + 1) // exact[i], i, k + 1))
 
 
-def targets(totals: Mapping[str | None, int], weights: Mapping[str | None, float] | None, temperature: float) -> dict[str | None, float]:
-    """The weight of each source; those that ``weights`` leaves out share as much as the given have."""
+def targets(totals: Mapping[str | None, int], weights: Mapping[str | None, float] | None, temperature: float, rest: float | None = None) -> dict[str | None, float]:
+    """The weight of each source; those that ``weights`` leaves out share ``rest``, or as much as the given have."""
     own = {s: n**temperature for s, n in totals.items()}
     if not weights:
         return own
     given = math.fsum(w for s, w in weights.items() if s in totals) or 1.0
-    rest = math.fsum(v for s, v in own.items() if s not in weights) or 1.0
-    return {s: weights[s] if s in weights else own[s] * given / rest for s in totals}
+    others = math.fsum(v for s, v in own.items() if s not in weights) or 1.0
+    return {s: weights[s] if s in weights else own[s] * (rest or given) / others for s in totals}
 
 
-def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source_col: str = "source", keep: Sequence[str] = ("doc_id",), block_rows: int = 32, temperature: float = 0.5) -> DataFrame:
+def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source_col: str = "source", keep: Sequence[str] = ("doc_id",), block_rows: int = 32, temperature: float = 0.5, rest: float | None = None) -> DataFrame:
     """Every input row once: the ``keep`` columns, ``source``, ``block``, ``release``, ``deadline``, ``slot``, ``position``.
 
     ``position`` orders the mixture, gapless from 0. ``weights`` gives each source its target; sources that it leaves out (all, by default)
-    get their row count to the power ``temperature``, scaled to the same total. A null source is a source of its own. Null ids and repeated
-    rows are placed like any other; an empty table gives an empty result; other columns are ignored. The
+    get their row count to the power ``temperature``, scaled to ``rest`` (the same total, by default). The budget is one epoch: every row is placed once, so the targets hold among the sources that
+    have rows left, and towards the end fewer and fewer have. A null source is a source of its own. Null ids and repeated
+    rows are placed like any other; an empty table gives an empty result; other columns are ignored; a ``keep`` column named as one of the results stays, and the result
+    gets a longer name (``slot_``). The
     order within a source follows a hash of the ``keep`` columns. Rows of a hot source are numbered by many tasks. One
     task walks through the slots, of ``block_rows`` rows each; it holds a few numbers for each source and gives its blocks out as it goes.
     """
@@ -106,7 +108,7 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted(((r["source"], r["count"]) for b in batches for r in b.to_pylist()), key=lambda r: (r[0] is not None, r[0] or ""))
         totals, names = dict(found), ["-" if s is None else "s" + s for s, _ in found]
-        chosen = targets(totals, weights, temperature)
+        chosen = targets(totals, weights, temperature, rest)
         sizes, begin = [n for _, n in found], 0
         slots = schedule([-(-n // block_rows) for n in sizes], [chosen[s] for s, _ in found])
         while part := list(islice(slots, 10_000)):
@@ -120,4 +122,6 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
     placed = numbered(rows, ["source"], [F.xxhash64(*[f"k{i}" for i in range(len(keep))]), F.col("tie")], "rank", total or 0)
     placed = placed.withColumns({"who": key, "block": F.expr(f"rank div {block_rows}"), "inner": F.expr(f"rank % {block_rows}")})
     joined = placed.join(small(blocks, 64 + (longest or 0)), ["who", "block"])
-    return joined.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *([] if "source" in keep else ["source"]), "block", "release", "deadline", "slot", (F.col("begin") + F.col("inner")).alias("position"))
+    results = ("block", "release", "deadline", "slot", "position")
+    named = [F.col(c).alias(o) for c, o in zip(results, fresh(df.select(*keep), *results), strict=True)]
+    return joined.withColumn("position", F.col("begin") + F.col("inner")).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *([] if "source" in keep else ["source"]), *named)

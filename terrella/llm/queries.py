@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,12 +16,17 @@ from terrella.llm.near_dedup import near_dedup
 from terrella.llm.quality_classifier import quality_classifier
 from terrella.llm.quality_rules import quality_rules
 from terrella.llm.sharding import kd_shards
-from terrella.llm.store import save, shared_dir
+from terrella.llm.store import save
+from terrella.plans.written import new_folder
 
 #: The rank file of op3; its folder must be the same on all executors.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+#: Target shares of op2: a large source held down, two raised; all others share the rest by the square roots of their sizes.
+SHARES = {"src0": 0.10, "src1": 0.12, "src2": 0.08}
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -35,7 +39,7 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_documents(spark, sf_dir))
+    return mix(_documents(spark, sf_dir), SHARES, rest=0.70)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +72,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = bpe(rows, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=("id", "source", "lang", "estimate", "words_v1"), outputs=("n_tokens",))
     counts = save(counts.withColumnRenamed("n_tokens", "byte_bpe_multi_50k"), "counts")
     toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/terrella/rollup-{uuid.uuid4().hex}")
+    rollup = token_counts.Rollup(spark, new_folder(spark, "rollup"))
     return token_counts.token_rollup(rollup, counts, toxic, ("words_v1", "byte_bpe_multi_50k"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Sequence
 from pathlib import Path
@@ -14,12 +13,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrella.plans.written import written
+
 #: Largest table, in bytes, that is handed to every executor.
 BROADCAST_BYTES = 16 << 20
 
 
 _shipped: set[str] = set()
-_own_dirs: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -37,31 +37,8 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local master gets a temporary folder; a cluster gets an error."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not (conf.get("spark.master", "") or "").startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    application = spark.sparkContext.applicationId
-    return _own_dirs.get(application) or _own_dir(application)
-
-
-def _own_dir(application: str) -> str:
-    folder = tempfile.mkdtemp(prefix="terrella-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    _own_dirs[application] = f"file://{folder}"
-    return _own_dirs[application]
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/terrella/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Write a table to the shared folder and read it back.
+save = written
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

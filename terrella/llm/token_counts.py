@@ -3,6 +3,10 @@
 A batch of signed changes is summed by source, language and tokenizer version and committed once under
 its id: a second commit of an id changes nothing. Totals are the sums over committed batches; compaction
 writes them down together with the ids that they hold.
+
+A commit is the rename of a folder, which is one step on HDFS and local disks. A store that renames file by file needs a
+committer of its own: there a broken commit may leave some of a batch's files. The driver lists the ids of all batches; their rows stay in
+the cluster.
 """
 
 from __future__ import annotations

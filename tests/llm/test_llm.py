@@ -84,7 +84,7 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def components(prints):
+def components(prints, radius=2):
     parent = {f: f for f in prints}
 
     def find(x):
@@ -95,7 +95,7 @@ def components(prints):
     own = sorted(parent)
     for i, a in enumerate(own):
         for b in own[i + 1 :]:
-            if (a ^ b).bit_count() <= 2:
+            if (a ^ b).bit_count() <= radius:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {f: find(f) for f in own}
@@ -311,7 +311,7 @@ def test_pipeline(spark, docs):
         if rules[i]:
             best.setdefault(norm(docs[i].text), i)
     prints = {i: simhash(docs[i].text) for i in best.values()}
-    root = components(prints.values())
+    root = components(prints.values(), corpus_pipeline.NEAR_RADIUS)
     heads: dict = {}
     for i in sorted(prints):
         heads.setdefault(root[prints[i]], i)
@@ -326,5 +326,7 @@ def test_stages_on_hard_rows(spark, hard, tmp_path):
     for rows in (hard, table.limit(0), spark.read.parquet(path)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, rows, SF).columns == rows.columns, name
-        assert stage(spark, rows, SF).count() == rows.count()
+        assert corpus_pipeline.mixing_stage(spark, rows, SF).count() == rows.count()
+        encoded = corpus_pipeline.encoding_stage(spark, rows, SF).collect()
+        assert sorted(r.decoded_sha256 for r in encoded) == sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in rows.collect())
     assert corpus_pipeline.exact_stage(spark, table, SF).count() == len({norm(t) for _, t, *_ in HARD})
