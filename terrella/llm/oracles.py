@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from terrella.llm.license_scan import PHRASES
+
 _EXACT = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -39,6 +41,35 @@ SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM j JOIN h ON j.host = h.host, p
 """
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _phrases() -> str:
+    """Base columns of op7: places where a phrase's words stand consecutively."""
+    places = " || ".join(f"list_transform(list_filter(generate_series(1, len(w)), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()}), lambda i: {{'at': i - 1, 'label': '{label}'}})" for p, label in PHRASES.items())
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, {places} AS places FROM d)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(list_transform(places, lambda x: x.at)) AS first_word, list_max(list_transform(places, lambda x: x.at)) AS last_word,
+       array_to_string(list_sort(list_distinct(list_transform(places, lambda x: x.label))), ',') AS base_labels
+FROM p
+"""
+
+
+def _secrets() -> str:
+    """Base columns of op6: a match begins after the gaps up to it and the matches before it."""
+    value = r"[A-Za-z0-9+/_.=-]+"
+    assign = rf"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
+    kinds = {"assign": (assign + value, f"len(regexp_extract(m, '{assign}({value})', 1)) >= 6"), "access": ("AKIA[A-Z0-9]+", "len(m) >= 20"), "hex": ("[0-9a-f]+", "len(m) >= 24")}
+    total = lambda e, upto: f"coalesce(list_sum(list_transform({e}[1:{upto}], lambda v: len(v))), 0)"
+    cuts = ", ".join(f"regexp_extract_all(text, '{p}') AS m{i}, string_split_regex(text, '{p}') AS g{i}" for i, (p, _) in enumerate(kinds.values()))
+    rows = " UNION ALL ".join(f"SELECT doc_id, {i} AS kind, '{k}' AS name, CAST({total(f'g{i}', 'i')} + {total(f'm{i}', 'i - 1')} AS BIGINT) AS start, m{i}[i] AS m FROM c, unnest(generate_series(1, len(m{i}))) AS s(i) WHERE {keep.replace('m,', f'm{i}[i],').replace('len(m)', f'len(m{i}[i])')}" for i, (k, (_, keep)) in enumerate(kinds.items()))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), c AS (SELECT doc_id, {cuts} FROM d), r AS ({rows}),
+j AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(name || ':' || start || ':' || (start + len(m)), ',' ORDER BY start, kind) AS spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN j ON d.doc_id = j.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": _RULES, "op9_exact_dedup": _EXACT}
+    return {"op5_quality_rules": _RULES, "op9_exact_dedup": _EXACT, "base_secrets": _secrets(), "base_licenses": _phrases()}

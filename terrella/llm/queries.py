@@ -84,6 +84,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6 that SQL can express."""
+    return op6_secret_scan(spark, sf_dir).drop("spans")
+
+
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7 that SQL can express."""
+    return op7_license_scan(spark, sf_dir).drop("labels", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_kd_shards, op2_pfair_mix, op3_byte_bpe, op4_quality_classifier, op5_quality_rules, op6_secret_scan, op7_license_scan, op8_token_counts, op9_exact_dedup, op10_simhash)
+    found = (op1_kd_shards, op2_pfair_mix, op3_byte_bpe, op4_quality_classifier, op5_quality_rules, op6_secret_scan, op7_license_scan, op8_token_counts, op9_exact_dedup, op10_simhash, base_secrets, base_licenses)
     return {f.__name__: f for f in found}
