@@ -121,6 +121,7 @@ QUERIES = {
     "anti_join_boxes": (_of(lambda t: joins.semi_join(t.customer(), t.boxes(), anti=True)), "SELECT id, x, y " + _INSIDE.format(no="NOT")),
     "range_join": (_of(lambda t: joins.range_join(t.order(), t.boxes()).select("l_id", "r_id")), "SELECT o.id AS l_id, b.id AS r_id FROM order_pts o, supplier_boxes b WHERE o.x BETWEEN xmin AND xmax AND o.y BETWEEN ymin AND ymax"),
     "range_join_count": (_of(lambda t: _aggregate(t, F.count("l_id").alias("n"))), f"SELECT b.id, count(c.id) AS n {_IN}"),
+    "range_join_orders_count": (_of(lambda t: joins.range_join_aggregate(t.order(), t.boxes(), [F.count("l_id").alias("n")]).select("id", "n")), f"SELECT b.id, count(c.id) AS n {_IN.replace('customer_pts', 'order_pts')}"),
     "range_join_sum": (_of(lambda t: _aggregate(t, F.coalesce(F.sum(F.round(F.col("l_x") * 100).cast("long")), F.lit(0)).alias("cents"), F.min("l_x").alias("least"))), f"SELECT b.id, CAST(coalesce(sum(CAST(round(c.x * 100) AS BIGINT)), 0) AS BIGINT) AS cents, min(c.x) AS least {_IN}"),
     "range_join_collect": (_of(_collect), f"SELECT b.id, coalesce(string_agg(CAST(c.id AS VARCHAR), ',' ORDER BY c.id), '') AS ids {_IN}"),
     "poly_contains_join": (_of(_polygons), "SELECT p.id AS polygon, c.id AS point FROM nation_polys p, customer_pts c WHERE abs(c.x - cx) / 600 + abs(c.y - cy) / 900 < 1"),
