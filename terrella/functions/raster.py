@@ -5,12 +5,13 @@ A cell holds the coordinates from its number times the width up to the next; wha
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrella.functions.curves import hilbert
 from terrella.functions.geometry import Value, col, coords_box, edges_of, let, polygon_covers
 
+#: Least and greatest cell numbers: xmin, ymin, xmax, ymax.
 Bounds = tuple[int, int, int, int]
 
 
@@ -23,8 +24,8 @@ def _run(a: Column, b: Column) -> Column:
     return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
 
 
-def segment_cells(s: Column, width: Value, within: Bounds | None = None) -> Column:
-    """Cells that a segment passes, column by column: in each, those from where it enters to where it leaves. ``within`` (least and greatest cell numbers) cuts off the rest."""
+def segment_cells(s: Column, width: Value) -> Column:
+    """Cells that a segment passes, column by column: in each, those from where it enters to where it leaves."""
     w = col(width)
     turned = s["x1"] > s["x2"]
     pick = lambda a, b: F.when(turned, s[b]).otherwise(s[a])
@@ -36,15 +37,11 @@ def segment_cells(s: Column, width: Value, within: Bounds | None = None) -> Colu
         low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
         held = lambda v: F.greatest(low, F.least(high, v))
         first, last = _at(e["x1"], w), _at(e["x2"], w)
-        if within:
-            first, last = F.greatest(first, F.lit(within[0])), F.least(last, F.lit(within[2]))
 
         def column(cx: Column) -> Column:
             a = F.when(steep, e["y1"]).otherwise(held(e["y1"] + slope * (F.greatest(e["x1"], cx * w) - e["x1"])))
             b = F.when(steep, e["y2"]).otherwise(held(e["y1"] + slope * (F.least(e["x2"], (cx + 1) * w) - e["x1"])))
             down, up = _at(F.least(a, b), w), _at(F.greatest(a, b), w)
-            if within:
-                down, up = F.greatest(down, F.lit(within[1])), F.least(up, F.lit(within[3]))
             return F.transform(_run(down, up), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
 
         return F.flatten(F.transform(_run(first, last), column))
@@ -52,6 +49,22 @@ def segment_cells(s: Column, width: Value, within: Bounds | None = None) -> Colu
     return let(ends, cells)
 
 
+def dealt_segments(df: DataFrame, width: float, within: Bounds) -> DataFrame:
+    """Rows with a segment (x1, y1, x2, y2), one for each cell (cx, cy) of ``segment_cells``: the same arithmetic in compiled steps, for large tables."""
+    keep = df.columns
+    turned = F.col("x1") > F.col("x2")
+    own = {"ax__": F.when(turned, F.col("x2")).otherwise(F.col("x1")), "ay__": F.when(turned, F.col("y2")).otherwise(F.col("y1")), "bx__": F.when(turned, F.col("x1")).otherwise(F.col("x2")), "by__": F.when(turned, F.col("y1")).otherwise(F.col("y2"))}
+    at = df.withColumns(own).withColumns({"low__": F.least("y1", "y2"), "high__": F.greatest("y1", "y2"), "steep__": F.col("ax__") == F.col("bx__")})
+    at = at.withColumn("slope__", (F.col("by__") - F.col("ay__")) / F.when(F.col("steep__"), 1.0).otherwise(F.col("bx__") - F.col("ax__")))
+    w = F.lit(float(width))
+    first, last = F.greatest(_at(F.col("ax__"), w), F.lit(within[0])), F.least(_at(F.col("bx__"), w), F.lit(within[2]))
+    at = at.where((first <= last) & (_at(F.col("low__"), w) <= within[3]) & (_at(F.col("high__"), w) >= within[1])).withColumn("cx", F.explode(F.sequence(first, last)))
+    held = lambda x: F.greatest("low__", F.least("high__", F.col("ay__") + F.col("slope__") * (x - F.col("ax__"))))
+    at = at.withColumn("a__", F.when(F.col("steep__"), F.col("ay__")).otherwise(held(F.greatest("ax__", F.col("cx") * w)))).withColumn("b__", F.when(F.col("steep__"), F.col("by__")).otherwise(held(F.least("bx__", (F.col("cx") + 1) * w))))
+    at = at.withColumn("down__", F.greatest(_at(F.least("a__", "b__"), w), F.lit(within[1]))).withColumn("up__", F.least(_at(F.greatest("a__", "b__"), w), F.lit(within[3])))
+    return at.where("down__ <= up__").withColumn("cy", F.explode(F.sequence("down__", "up__"))).select(*keep, "cx", "cy")
+
+
 def line_cells(coords: Column, width: Value) -> Column:
     """Cells that a line passes, each once."""
     return F.array_distinct(F.flatten(F.transform(edges_of(coords), lambda s: segment_cells(s, width))))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrella.functions.geometry import Box, coords_box, edge_squared, edges_of, finite, geometry_intersects, geometry_squared, segment_point_squared, squared_distance
-from terrella.functions.raster import segment_cells
+from terrella.functions.raster import dealt_segments
 from terrella.plans.grid import SLACK, box_pairs, box_point_pairs, knn_candidates, neighbours, no_pairs, prefixed, valid
 from terrella.plans.written import written
 
@@ -239,15 +239,15 @@ def _near_lines(lines: DataFrame, dots: DataFrame, k: int, error_range: float, m
     if not e[0]:
         return _near_shapes(lines.limit(0), dots.limit(0), error_range)
     box = Box.of("bx1", "by1", "bx2", "by2")
-    cut = lines.select(F.col("payload").alias("l_payload"), *[c.alias(n) for n, c in zip(("bx1", "by1", "bx2", "by2"), coords_box(F.col("coords"), error_range), strict=True)], F.explode(edges_of(F.col("coords"))).alias("s"))
+    cut = lines.select(F.col("payload").alias("l_payload"), *[c.alias(n) for n, c in zip(("bx1", "by1", "bx2", "by2"), coords_box(F.col("coords"), error_range), strict=True)], F.explode(edges_of(F.col("coords"))).alias("s")).select("*", "s.*").drop("s")
     dx, dy = e[2] - e[1], e[4] - e[3]
     width, out = max(math.sqrt(dx * dy / (9 * e[0])), max(dx, dy) / (9 * e[0])) or 1.0, None
     for _ in range(rounds):
         cell = lambda v, w=width: F.floor(v / w).cast("long")
         within = tuple(math.floor(v / width) + d for v, d in ((e[1], -1), (e[3], -1), (e[2], 1), (e[4], 1)))
-        passed = cut.withColumn("c", F.explode(segment_cells(F.col("s"), width, within))).withColumns({"cx": F.col("c.cx"), "cy": F.col("c.cy")}).drop("c")
+        passed = dealt_segments(cut, width, within)
         asked = at.withColumn("c", F.explode(neighbours(cell(F.col("px")), cell(F.col("py"))))).withColumns({"cx": F.col("c.cx"), "cy": F.col("c.cy")}).drop("c")
-        d2 = segment_point_squared(F.col("s"), "px", "py", compiled=True)
+        d2 = segment_point_squared(F.struct("x1", "y1", "x2", "y2"), "px", "py", compiled=True)
         met = asked.join(passed, ["cx", "cy"]).where(box.contains("px", "py")).withColumn("d2", d2).where(F.col("d2") <= (width * (1 - 1e-6)) ** 2)
         order = Window.partitionBy("r_payload").orderBy("d2", "l_payload")
         first = met.groupBy("r_payload", "l_payload").agg(F.min("d2").alias("d2")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
