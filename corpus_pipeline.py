@@ -20,8 +20,8 @@ from terrella.llm.store import fresh, save, small, with_rows
 from terrella.plans.written import remove, scratch
 
 
-#: Bits by which the fingerprints of near copies may differ: the widest that ``near_dedup`` takes. Over 9,296 distinct documents all pairs within 7 bits
-#: share most of their words, and no others come within; at 2 bits, op10's contract, a fifth to a third as many are found.
+#: Bits by which the fingerprints of near copies may differ: the widest that ``near_dedup`` takes. Over the 9,296 distinct documents of sf0.1, 181 pairs are
+#: within 7 bits, 176 of which share half or more of their word 5-grams; 4 pairs are within 2 bits, the radius of op10's contract.
 NEAR_RADIUS = 7
 
 
