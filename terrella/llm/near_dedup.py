@@ -222,3 +222,43 @@ def dropped(found: DataFrame, id_col: str, rows: Sequence[str]) -> DataFrame:
     groups = found.groupBy("component_fp").agg(F.count("*").alias("n"), head).where("n > 1").select("component_fp", "head")
     joined = found.join(groups, "component_fp")
     return joined.where(~(F.struct(*rows) == F.struct(*[F.col(f"head.{c}").alias(c) for c in rows]))).select(*rows)
+
+
+def shingles(text: str | bytes | None, size: int = 5, seed: int = 42) -> np.ndarray:
+    """Hashes of the distinct word shingles of one text; fewer words are one shingle."""
+    words = (text.encode() if isinstance(text, str) else text or b"").lower().split()
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= size:
+        return np.array([digest(joined, seed)], np.uint64)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def confirmed(rows: DataFrame, keys: Sequence[str], group_col: str, text_col: str = "text", size: int = 5, least: float = 0.5) -> DataFrame:
+    """``keys`` of the rows that have at least the share ``least`` of their distinct shingles in another row of their group.
+
+    Fingerprints of unlike texts come near each other by chance, the more so the more texts there are: these rows share no shingles with their group. Shingles are counted by group
+    and hash, in each task first, so no group meets in one task and no pairs are formed. Null and empty texts are one shingle; a table without rows gives none.
+    """
+    ship(rows.sparkSession)
+    names = [f"c{i}" for i in range(len(keys))]
+    chosen = rows.select(*[F.col(c).alias(n) for n, c in zip(names, keys, strict=True)], F.col(group_col).alias("own"), F.col(text_col).cast("binary").alias("marks"))
+    schema = chosen.withColumn("marks", F.array().cast("array<bigint>")).schema
+    for field in schema.fields:
+        field.nullable = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                got = pa.array([shingles(x.as_py(), size).view(np.int64) for x in batch.column(batch.num_columns - 1)], pa.list_(pa.int64()))
+                fields = [f.with_nullable(True) for f in batch.schema][:-1] + [pa.field("marks", got.type)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], schema=pa.schema(fields))
+
+    marks = save(chosen.mapInArrow(run, schema), "marks")
+    single = marks.select(*names, "own", F.size("marks").alias("n"), F.explode("marks").alias("mark"))
+    common = single.groupBy("own", "mark").agg(F.count("*").alias("rows")).where("rows > 1").select("own", "mark")
+    shared = single.join(common, ["own", "mark"], "left_semi").groupBy(*names, "n").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") >= F.lit(least) * F.col("n")).select(*[F.col(n).alias(c) for n, c in zip(names, keys, strict=True)])
