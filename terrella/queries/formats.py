@@ -139,7 +139,20 @@ def _box_lines(t: Tables) -> DataFrame:
 
 _BOX_LINES = "SELECT CAST(c.id AS VARCHAR) || ',' || CASE WHEN sqrt((c.x - (xmin + xmax) / 2) * (c.x - (xmin + xmax) / 2) + (c.y - (ymin + ymax) / 2) * (c.y - (ymin + ymax) / 2)) <= 400 THEN CAST(b.id AS VARCHAR) ELSE '' END AS value FROM customer_pts c JOIN supplier_boxes b ON c.x BETWEEN xmin AND xmax AND c.y BETWEEN ymin AND ymax"
 
+def _typed(t: Tables) -> DataFrame:
+    """Points, lines and rectangles as the map-matching reader makes them: bounds and number of coordinates."""
+    kinds = {"point": t.customer(), "line": t.lines(), "rectangle": t.lines()}
+    made = [parsers.matching_shapes(df, kind, "id", 150.0).withColumn("kind", F.lit(kind)) for kind, df in kinds.items()]
+    box = G.coords_box(F.col("coords"))
+    return reduce(DataFrame.unionByName, made).select("kind", F.col("payload").cast("long").alias("id"), F.size("coords").cast("long").alias("c"), "area", box.xmin.alias("xmin"), box.ymax.alias("ymax"))
+
+
+_TYPED = """SELECT 'point' AS kind, id, 1 AS c, FALSE AS area, floor(x) + 1 AS xmin, floor(y) + 1 AS ymax FROM customer_pts
+UNION ALL SELECT 'line', id, count(*), FALSE, min(floor(x) + 1), max(floor(y) + 1) FROM line_points WHERE c >= 2 GROUP BY id
+UNION ALL SELECT 'rectangle', id, 5, TRUE, min(x) - 150, max(y) + 150 FROM line_points WHERE c >= 2 GROUP BY id"""
+
 QUERIES = {
+    "typed_shapes": (_of(_typed), _TYPED),
     "parse_field_points": (_of(_fields), _fields_sql()),
     "parse_short_points": (_of(_short), _SHORT),
     "street_lines": (_of(_streets), _STREETS),

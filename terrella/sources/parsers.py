@@ -131,6 +131,18 @@ def whole_cells(points: DataFrame) -> DataFrame:
     return points.withColumns({c: F.floor(F.col(c)).cast("double") + 1 for c in ("x", "y")})
 
 
+def matching_shapes(df: DataFrame, kind: str, payload: str = "payload", error_range: float = 0.0) -> DataFrame:
+    """Shapes for map matching in whole numbers, as its reader makes them: coordinates of points (x, y) and lines are cut and raised by one; ``rectangle`` is a line's bounds grown by the range."""
+    if kind == "point":
+        return shapes(whole_cells(df), "point", payload)
+    if kind == "line":
+        cut = lambda v: F.floor(v).cast("double") + 1
+        return shapes(df.withColumn("coords", F.transform("coords", lambda c: F.struct(cut(c["x"]).alias("x"), cut(c["y"]).alias("y")))), "line", payload)
+    if kind == "rectangle":
+        return shapes(line_boxes(df, error_range, payload), "box", payload)
+    raise ValueError(f"no shapes of kind {kind}")
+
+
 def shapes(df: DataFrame, kind: str, payload: str = "payload") -> DataFrame:
     """``payload``, ``coords``, ``area`` for map matching, from points (x, y), boxes or coordinate lists."""
     from terrella.functions.geometry import shape
