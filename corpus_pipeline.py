@@ -77,13 +77,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: sorted ranges of positions become the files that a loader reads in turn.
 
-    Every row stays, null and empty texts, null ids and repeated rows too; a null source is a source of its own. An empty table stays empty; other
+    The join with the positions shuffles at every size; its hash tables hold positions, not texts. Every row stays, null and empty texts, null ids and repeated rows too; a null source is a source of its own. An empty table stays empty; other
     columns stay as they are, whatever their names.
     """
     rows, key = _keyed(docs)
     (at,) = fresh(rows, "_position")
     placed = save(mix(rows, keep=key).select(*key, F.col("position").alias(at)), "placed")
-    return rows.join(placed, key).repartitionByRange(at).sortWithinPartitions(at).drop(*key, at)
+    return rows.join(placed.hint("shuffle_hash"), key).repartitionByRange(at).sortWithinPartitions(at).drop(*key, at)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
