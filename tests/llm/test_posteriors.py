@@ -85,7 +85,7 @@ def test_the_site_decides_ambiguous_documents(spark):
 
 
 def test_grams_of_long_texts_are_summed_whole():
-    data = bytes(random.Random(2).randrange(97, 123) for _ in range(3 << 20))
+    data = random.Random(2).randbytes(3 << 20)
     whole = np.zeros(Q.GRAMS)
     for at in range(0, len(data) - 2, 700_001):
         part = data[at : at + 700_003]
