@@ -21,8 +21,8 @@ from terrella.plans.written import remove, scratch
 
 
 #: Bits by which the fingerprints of near copies may differ: the widest that ``near_dedup`` takes. Over the 9,296 distinct documents of sf0.1, 181 pairs are
-#: within 7 bits, 176 of which share half or more of their word 5-grams; 4 pairs are within 2 bits, the radius of op10's contract. Chance pairs grow with the square of the documents: 6 of
-#: 45,047 were in check_s. ``confirmed`` tells them.
+#: within 7 bits, 176 of which share half or more of their word 5-grams; 4 pairs are within 2 bits, the radius of op10's contract. Chance pairs grow with the square of the
+#: documents; ``confirmed`` tells them.
 NEAR_RADIUS = 7
 
 
