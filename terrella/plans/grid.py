@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from terrella.plans.written import written
 
 #: Relative slack of bounds, against rounding in cell numbers and distances.
 SLACK = 1e-9
+#: Rows of one location that an array holds, about.
+BUNCH = 1024
 #: Finest level of the cells of the nearest-neighbour join: 2**44 cells in a row, well above the rounding of doubles.
 FINEST = 44
 
@@ -32,6 +35,23 @@ def neighbours(cx: Column, cy: Column, reach: int = 1) -> Column:
     return F.array(*[F.struct((cx + dx).alias("cx"), (cy + dy).alias("cy")) for dx in span for dy in span])
 
 
+def bunched(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """Rows with equal ``by`` columns in arrays ``name`` of about ``BUNCH`` rows at most, if half of the rows or more repeat another's; else the rows as they are.
+
+    A join of places then meets each pair of them once, and ``unbunched`` writes out the pairs of rows. Rows equal in all columns share an array.
+    """
+    e = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    if not e[0] or e[1] < 2 * e[0]:
+        return df
+    parts = -(-e[2] // BUNCH)
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(parts)) if parts > 1 else F.lit(0)
+    return df.groupBy(*by, salt.alias("salt__")).agg(F.collect_list(F.struct(*df.columns)).alias(name)).drop("salt__")
+
+
+def unbunched(pairs: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    return pairs.drop(*by).select("*", F.inline(name)).drop(name) if name in pairs.columns else pairs
+
+
 def covering(box: Box, width: Column) -> Column:
     """Cells of a width that a box touches."""
     at = lambda v: F.floor(v / width).cast("long")
