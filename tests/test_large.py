@@ -24,3 +24,29 @@ def test_distance_join_is_no_broadcast_and_meets_places_once(spark):
     got = [(r.l_id, r.r_id) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
     assert "Broadcast" not in plan_of(found)
+
+
+def test_box_aggregates_without_pairs_in_a_shuffle(spark):
+    """Every box answers for itself, whatever its id, and points are aggregated before they meet the boxes' rows: no exchange but that of the results follows the join of the cells."""
+    rows = [(i % 7, i % 5) for i in range(300)] + [(None, 1.0)]
+    bounds = [(0, 0, 2, 2), (0, 0, 2, 2), (1, 1, 1, 1), (50, 50, 60, 60), (-9, -9, 99, 99)]
+    ids = [None, 1, 1, 3, 4]
+    own = spark.createDataFrame([(i, *map(float, b)) for i, b in zip(ids, bounds, strict=True)] + [(5, None, 0.0, 1.0, 1.0)], "id long, xmin double, ymin double, xmax double, ymax double")
+    found = joins.range_join_aggregate(points(spark, rows), own, [F.count("l_id").alias("n"), F.coalesce(F.sum("l_x"), F.lit(-1.0)).alias("s"), F.min("l_x").alias("m")])
+    inside = lambda b: [x for x, y in rows if x is not None and b[0] <= x <= b[2] and b[1] <= y <= b[3]]
+    want = [(str(i), len(v), float(sum(v)) if v else -1.0, str(float(min(v)) if v else None)) for i, b in zip(ids, bounds, strict=True) for v in [inside(b)]] + [("5", 0, -1.0, "None")]
+    assert sorted((str(r.id), r.n, r.s, str(r.m)) for r in found.collect()) == sorted(want)
+    assert found.columns == ["id", "xmin", "ymin", "xmax", "ymax", "n", "s", "m"]
+
+
+def test_range_join_meets_places_once(spark):
+    """Points that share a place and boxes that share bounds give all their pairs; dealt boxes are not broadcast."""
+    rng = random.Random(7)
+    rows = [(rng.randint(0, 9), rng.randint(0, 9)) for _ in range(400)] + [(3, 3)] * 1200
+    bounds = [(x, y, x + w, y + w) for x, y, w in ((rng.randint(0, 9), rng.randint(0, 9), rng.choice((0, 1, 6))) for _ in range(4)) for _ in range(3)]
+    found = joins.range_join(points(spark, rows), boxes(spark, bounds))
+    got = [(r.l_id, r.r_id) for r in found.collect()]
+    want = {(i, j) for i, (x, y) in enumerate(rows) for j, b in enumerate(bounds) if b[0] <= x <= b[2] and b[1] <= y <= b[3]}
+    assert len(got) == len(want) and set(got) == want
+    assert found.columns == ["l_id", "l_x", "l_y", "r_id", "r_xmin", "r_ymin", "r_xmax", "r_ymax"]
+    assert "Broadcast" not in plan_of(found)
