@@ -39,3 +39,19 @@ def half_up(value: Value) -> Column:
 def spread(a: Value, b: Value) -> Column:
     """Smaller, larger and absolute difference."""
     return F.struct(F.least(col(a), col(b)).alias("least"), F.greatest(col(a), col(b)).alias("most"), F.abs(col(a) - col(b)).alias("apart"))
+
+
+def fixed(value: Value, places: int = 2) -> Column:
+    """A double as a decimal of 12 digits, rounded as SQL engines do that scale doubles first: 1028.995 is 1028.99, as 1028.995 * 100 is below 102899.5. Spark's own cast rounds the shortest text of the number."""
+    scaled = F.round(col(value) * float(10**places)).cast("decimal(20,0)")
+    return (scaled / F.lit(10**places).cast("decimal(20,0)")).cast(f"decimal(12,{places})")
+
+
+def number_text(value: Value) -> Column:
+    """A double's shortest text: digits alone from 1e-4 to below 1e16, else an exponent of two digits or more (1e-05)."""
+    v = col(value)
+    text = v.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(text.cast("decimal(38,20)").cast("string"), r"0+$", ""), r"\.$", ".0")
+    power = F.regexp_extract(text, r"E-?(\d+)$", 1)
+    short = F.concat(F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.when(text.contains("E-"), "e-").otherwise("e+"), F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power))
+    return F.when(~text.contains("E"), text).when(F.abs(v).between(1e-4, 9999999999999998.0), plain).otherwise(short)

@@ -106,7 +106,7 @@ def _morton(t: Tables) -> DataFrame:
 
 def _utilities(t: Tables) -> DataFrame:
     both = util.spread("x", "y")
-    return t.order().select("id", F.round(util.log_base(F.col("x"), 2.0), 6).alias("log2"), util.nth_index(F.col("x").cast("string"), ".", 1).cast("long").alias("dot"), util.half_up("x").alias("whole"), util.floor_text(F.col("x").cast("decimal(12,2)").cast("string")).alias("floored"), F.lit(util.size_bytes("1.5g")).alias("size"), both["least"].alias("least"), both["most"].alias("most"), both["apart"].alias("apart"))
+    return t.order().select("id", F.round(util.log_base(F.col("x"), 2.0), 6).alias("log2"), util.nth_index(F.col("x").cast("string"), ".", 1).cast("long").alias("dot"), util.half_up("x").alias("whole"), util.floor_text(util.fixed("x").cast("string")).alias("floored"), F.lit(util.size_bytes("1.5g")).alias("size"), both["least"].alias("least"), both["most"].alias("most"), both["apart"].alias("apart"))
 
 
 def _lookup(t: Tables) -> DataFrame:
