@@ -37,10 +37,9 @@ def xy_at(line: Column, n: int, swap: bool = False, lower: bool = True, positive
 
 
 def three_part(line: Column) -> Column:
-    """``id,x,y`` without negative coordinates; the payload is the id."""
-    x, y = _part(line, 1), _part(line, 2)
-    good = F.coalesce(~x.startswith("-") & ~y.startswith("-"), F.lit(False))
-    return _point(_number(x), _number(y), _part(line, 0), good)
+    """``id,x,y`` without negative coordinates (-0.0 is none); the payload is the id."""
+    x, y = _number(_part(line, 1)), _number(_part(line, 2))
+    return _point(x, y, _part(line, 0), F.coalesce((x >= 0) & (y >= 0), F.lit(False)))
 
 
 def random_point(line: Column) -> Column:
