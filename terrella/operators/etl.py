@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrella.functions.geometry import Value, col
+from terrella.functions.util import number_text
 from terrella.plans.written import written
 
 
@@ -27,8 +28,8 @@ def osm_ways(elements: DataFrame, tag: str, value: str = "*", column: str = "val
 def osm_polygons(nodes: DataFrame, ways: DataFrame, low: tuple[float, float] = (-180.0, -90.0), high: tuple[float, float] = (180.0, 90.0)) -> DataFrame:
     """``way`` and ``line``: the id and the quoted polygon text, a comma after every pair. Nodes that are missing or outside the box are skipped."""
     inside = nodes.where(F.col("lon").between(low[0], high[0]) & F.col("lat").between(low[1], high[1]))
-    lists = ways.join(inside, "node").groupBy("way").agg(F.array_sort(F.collect_list(F.struct("place", "lon", "lat"))).alias("c"))
-    pairs = F.array_join(F.transform("c", lambda p: F.concat(p["lon"].cast("string"), F.lit(" "), p["lat"].cast("string"), F.lit(","))), "")
+    lists = ways.join(inside, "node").groupBy("way").agg(F.array_sort(F.collect_list(F.struct("place", number_text("lon").alias("lon"), number_text("lat").alias("lat")))).alias("c"))
+    pairs = F.array_join(F.transform("c", lambda p: F.concat(p["lon"], F.lit(" "), p["lat"], F.lit(","))), "")
     return lists.select("way", F.concat(F.col("way").cast("string"), F.lit(',"POLYGON(('), pairs, F.lit('))"')).alias("line"))
 
 

@@ -2,9 +2,12 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
-from terrella.operators import joins
+from terrella.functions import util
+from terrella.operators import aggregate, etl, joins
+from terrella.sources import parsers
 
 from tests.test_skew import boxes
 from tests.test_spatial import points
@@ -50,3 +53,29 @@ def test_range_join_meets_places_once(spark):
     assert len(got) == len(want) and set(got) == want
     assert found.columns == ["l_id", "l_x", "l_y", "r_id", "r_xmin", "r_ymin", "r_xmax", "r_ymax"]
     assert "Broadcast" not in plan_of(found)
+
+
+def test_fixed_decimals_as_in_sql(spark):
+    """The scaled double decides, as in DuckDB."""
+    values = [1028.995, 1195.995, 1039.995, 1117.995, 0.125, -0.125, 2.5, 0.0, None, *[i + 0.995 for i in range(1000, 1400)]]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in values], "x double").select(util.fixed("x").cast("string").alias("v")).collect()]
+    want = [duckdb.execute("SELECT CAST(CAST(CAST(? AS DOUBLE) AS DECIMAL(12,2)) AS VARCHAR)", [v]).fetchone()[0] for v in values]
+    assert got == want
+
+
+def test_number_text_as_in_sql(spark):
+    values = [4e-4, 2e-4, 1e-4, 12e-5, 9.5e-5, 1e-5, 1.5e-10, 0.0, -0.0, -4e-4, 23.371199999999998, 1e7, 12345678.5, 123456789012345.0, 1e16, 2.5e120, None]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in values], "x double").select(util.number_text("x").alias("v")).collect()]
+    assert got == [duckdb.execute("SELECT CAST(CAST(? AS DOUBLE) AS VARCHAR)", [v]).fetchone()[0] for v in values]
+
+
+def test_osm_polygons_of_small_degrees(spark):
+    nodes = spark.createDataFrame([(1, 4e-4, 2.4), (2, 62.5, 4.0)], "node long, lon double, lat double")
+    ways = spark.createDataFrame([(7, 0, 1), (7, 1, 2)], "way long, place int, node long")
+    assert etl.osm_polygons(nodes, ways).first().line == '7,"POLYGON((0.0004 2.4,62.5 4.0,))"'
+
+
+def test_bad_records_counts_no_negative_zero(spark):
+    lines = spark.createDataFrame([("1,-0.0,400.0",), ("2,1.0E-4,-0.0",), ("3,-0.01,0.0",), ("4, -5,1",), ("5,x,1",), ("6,3.5,0.0",)], "value string")
+    parsed = lines.select(parsers.parser("three_part_line")(F.col("value")).alias("p"))
+    assert aggregate.bad_records(parsed, "p").first().bad == 3
