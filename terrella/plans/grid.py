@@ -81,6 +81,24 @@ def box_point_pairs(boxes: DataFrame, box: Box, points: DataFrame, x: str, y: st
 
     Cells of that size meet about twice the points that the box holds. The dealt boxes are more than Spark estimates, so they are never a broadcast.
     """
+    spread, dealt = _dealt(boxes, box, points, x, y)
+    return spread.join(dealt.hint("merge"), ["lv__", "cx__", "cy__"]).where(box.contains(x, y)).drop("lv__", "cx__", "cy__")
+
+
+def box_array_pairs(boxes: DataFrame, box: Box, points: DataFrame) -> DataFrame:
+    """``boxes`` columns and ``part``: for each box and each array of points (v, x, y) near it, the values v of those that it holds; none without any."""
+    spread, dealt = _dealt(boxes, box, points, "x", "y")
+    salt = F.pmod(F.xxhash64("v", "x", "y"), F.greatest(F.lit(1), F.ceil(F.col("n__") / BUNCH)))
+    cell = ["lv__", "cx__", "cy__"]
+    sizes = spread.groupBy(*cell).agg(F.count("*").alias("n__"))
+    arrays = spread.join(sizes.hint("merge"), cell).groupBy(*cell, salt.alias("salt__")).agg(F.collect_list(F.struct("x", "y", "v")).alias("points__")).drop("salt__")
+    held = F.filter("points__", lambda p: box.contains(p["x"], p["y"]))
+    pairs = arrays.join(dealt.hint("merge"), cell).withColumn("held__", held).where(F.size("held__") > 0)
+    return pairs.select(*boxes.columns, F.transform("held__", lambda p: p["v"]).alias("part"))
+
+
+def _dealt(boxes: DataFrame, box: Box, points: DataFrame, x: str, y: str) -> tuple[DataFrame, DataFrame]:
+    """Points and boxes with the cells (lv__, cx__, cy__) in which they may meet."""
     boxes = boxes.where(finite(*box) & (box.xmin <= box.xmax) & (box.ymin <= box.ymax))
     leveled = boxes.withColumn("lv__", level_of(box, least_level(boxes, box), 2))
     used = levels_in(leveled, "lv__")
@@ -91,7 +109,7 @@ def box_point_pairs(boxes: DataFrame, box: Box, points: DataFrame, x: str, y: st
         e = boxes.agg(F.min(box.xmin), F.min(box.ymin), F.max(box.xmax), F.max(box.ymax)).first()
         near = near.where(F.col(x).between(e[0], e[2]) & F.col(y).between(e[1], e[3]))
     spread = near.withColumn("p__", F.explode(own)).withColumns({"lv__": F.col("p__.lv"), "cx__": F.col("p__.cx"), "cy__": F.col("p__.cy")}).drop("p__")
-    return spread.join(dealt.hint("merge"), ["lv__", "cx__", "cy__"]).where(box.contains(x, y)).drop("lv__", "cx__", "cy__")
+    return spread, dealt
 
 
 def box_pairs(a: DataFrame, abox: Box, b: DataFrame, bbox: Box) -> DataFrame:

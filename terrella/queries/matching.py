@@ -36,8 +36,8 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 
 def _collect(t: Tables) -> DataFrame:
-    found = joins.range_join_aggregate(t.customer(), t.boxes().select("id", "xmin", "ymin", "xmax", "ymax"), [F.array_join(F.transform(F.array_sort(F.collect_list("l_id")), lambda v: v.cast("string")), ",").alias("ids")])
-    return found.select("id", "ids")
+    found = joins.range_join_collect(t.customer(), t.boxes())
+    return found.select("id", F.array_join(F.col("held").cast("array<string>"), ",").alias("ids"))
 
 
 def _aggregate(t: Tables, *aggregates) -> DataFrame:  # noqa: ANN002

@@ -79,3 +79,13 @@ def test_bad_records_counts_no_negative_zero(spark):
     lines = spark.createDataFrame([("1,-0.0,400.0",), ("2,1.0E-4,-0.0",), ("3,-0.01,0.0",), ("4, -5,1",), ("5,x,1",), ("6,3.5,0.0",)], "value string")
     parsed = lines.select(parsers.parser("three_part_line")(F.col("value")).alias("p"))
     assert aggregate.bad_records(parsed, "p").first().bad == 3
+
+
+def test_range_join_collect(spark):
+    """The ids that each box holds, from arrays of points and not from pairs in rows."""
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 9), rng.random() * 9) for _ in range(300)] + [(3, 3)] * 2500 + [(None, 2.0)]
+    bounds = [(0, 0, 4, 4), (0, 0, 4, 4), (3, 3, 3, 3), (70, 70, 80, 80), (-50, -50, 50, 50)]
+    found = joins.range_join_collect(points(spark, rows), boxes(spark, bounds))
+    want = {j: [i for i, (x, y) in enumerate(rows) if x is not None and b[0] <= x <= b[2] and b[1] <= y <= b[3]] for j, b in enumerate(bounds)}
+    assert {r.id: r.held for r in found.collect()} == want
