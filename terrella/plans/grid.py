@@ -226,3 +226,11 @@ def knn_candidates(left: DataFrame, right: DataFrame, k: int, right_id: str = "r
     near = l.join(pairs, ["llv", "lcx", "lcy"]).where(F.col("limit").isNull() | (b.point_distance("l_x", "l_y") <= F.col("limit") * (1 + SLACK)))
     gone = ["llv", "lcx", "lcy", "rlv", "rcx", "rcy", "lix", "liy", "rix", "riy", "limit", "rminx", "rminy", "rmaxx", "rmaxy"]
     return near.join(r, ["rlv", "rcx", "rcy"]).drop(*gone)
+
+
+def cuts_below(z: Column, cuts: list[int], before: int = 0) -> Column:
+    """How many of the sorted cuts are less than a value: a tree of comparisons, not one for each cut."""
+    if not cuts:
+        return F.lit(before)
+    middle = len(cuts) // 2
+    return F.when(z > F.lit(cuts[middle]).cast("long"), cuts_below(z, cuts[middle + 1 :], before + middle + 1)).otherwise(cuts_below(z, cuts[:middle], before))

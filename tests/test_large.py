@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from terrella.functions import util
 from terrella.operators import aggregate, etl, joins
+from terrella.plans.lines import nearest_lines
+from terrella.plans.written import scratch
 from terrella.sources import parsers
 
 from tests.test_skew import boxes
@@ -100,3 +102,54 @@ def test_zknn_join_ranks_in_the_ranges(spark):
     assert got[0] == (7, 2**60 + 3, 1, "s", 0.5)
     assert got[2:] == [(2**60 + 1, None, 1, "r00", 0.0), (2**60 + 1, None, 2, "r01", 0.0)]
     assert "CoGroup" in plan_of(found)
+
+
+def lines_of(spark, rows):
+    return spark.createDataFrame([(f"l{i}", [(float(x), float(y)) if x is not None else (None, None) for x, y in c], False) for i, c in enumerate(rows)], "payload string, coords array<struct<x:double,y:double>>, area boolean")
+
+
+def brute_lines(rows, places, k, error_range, limit):
+    out = set()
+    for px, py in places:
+        found = []
+        for i, c in enumerate(rows):
+            own = [p for p in c if p[0] is not None]
+            (x0, x1), (y0, y1) = ((min(v) - error_range, max(v) + error_range) for v in zip(*own, strict=True))
+            d2 = []
+            for a, b in [*zip(c, c[1:])] if len(c) > 1 else [(c[0], c[0])]:
+                if a[0] is not None and b[0] is not None:
+                    dx, dy = b[0] - a[0], b[1] - a[1]
+                    n = dx * dx + dy * dy
+                    t = max(0.0, min(1.0, ((px - a[0]) * dx + (py - a[1]) * dy) / n)) if n else 0.0
+                    d2.append((px - a[0] - t * dx) ** 2 + (py - a[1] - t * dy) ** 2)
+            if d2 and x0 <= px <= x1 and y0 <= py <= y1 and min(d2) <= limit:
+                found.append((min(d2), f"l{i}"))
+        out |= {(px, py, name, round(d2, 9)) for d2, name in sorted(found)[:k]}
+    return out
+
+
+def test_nearest_lines_of_tiles_and_parts(spark):
+    """Long and short lines, copies of lines, breaks, single coordinates, places with fewer than k lines: as by brute force, whatever the tiles, parts and steps."""
+    rng = random.Random(14)
+    at = lambda s: (rng.randint(0, s), rng.randint(0, s))
+    rows = [[at(1000) for _ in range(rng.randint(2, 6))] for _ in range(40)] + [[(x, y), (x + 3, y + rng.randint(0, 4))] for x, y in (at(1000) for _ in range(40))]
+    rows += [rows[3], rows[3], rows[50], [(10, 10)], [(0, 0), (5, 900), (None, None), (500, 3), (900, 3)], [(7, 7), (7, 7)], [(2e6, 5), (-2e6, 6)]]
+    places = [at(1000) for _ in range(150)] + [(rng.randint(0, 1000), 400) for _ in range(150)] + [(10, 10), (-40, 500), (-500, 500), (1e6, 9), (3e6, 1)]
+    where = spark.createDataFrame([(float(x), float(y)) for x, y in [*places, *places[:9]]] + [(None, 1.0), (float("nan"), 1.0)], "px double, py double")
+    for limit, tile, part in ((None, 40, 60), (60.0, 100_000, 1_000_000)):
+        found = nearest_lines(lines_of(spark, rows), where, 3, 50.0, limit, tile, part).collect()
+        want = brute_lines(rows, places, 3, 50.0, limit * limit if limit else float("inf"))
+        assert len(found) == len(want) and {(r.px, r.py, r.l_payload, round(r.d2, 9)) for r in found} == want
+
+
+def test_map_matching_writes_no_cells(spark):
+    """What is written and what crosses an exchange are lines and places, not the cells that segments pass."""
+    rng = random.Random(15)
+    rows = [[(rng.uniform(0, 1e5), rng.uniform(0, 1e5)) for _ in range(4)] for _ in range(50)]
+    dots = spark.createDataFrame([(f"p{i}", [(rng.uniform(0, 1e5), rng.uniform(0, 1e5))], False) for i in range(400)], "payload string, coords array<struct<x:double,y:double>>, area boolean")
+    with scratch() as paths:
+        found = joins.match_knn(lines_of(spark, rows), dots, 3)
+        assert found.where("size(matches) = 3").count() > 300
+    assert sorted(p.rsplit("/", 1)[1].split("-")[0] for p in paths) == ["lines", "places"]
+    assert sum(spark.read.parquet(p).count() for p in paths) == 450
+    assert "CoGroup" in plan_of(found)
