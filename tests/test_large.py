@@ -153,3 +153,13 @@ def test_map_matching_writes_no_cells(spark):
     assert sorted(p.rsplit("/", 1)[1].split("-")[0] for p in paths) == ["lines", "places"]
     assert sum(spark.read.parquet(p).count() for p in paths) == 450
     assert "CoGroup" in plan_of(found)
+
+
+def test_distance_matching_writes_no_cells(spark):
+    """A short distance and long segments: only lines and places are written."""
+    rows = [[(0, i), (1e7, i + 0.5)] for i in range(30)]
+    dots = spark.createDataFrame([(f"p{i}", [(i * 1e4, float(i % 30))], False) for i in range(300)], "payload string, coords array<struct<x:double,y:double>>, area boolean")
+    with scratch() as paths:
+        found = {r.payload: [(m.payload, round(m.distance, 6)) for m in r.matches] for r in joins.match_distance(lines_of(spark, rows), dots, 2, 0.4, 0.0).collect()}
+    assert sorted(p.rsplit("/", 1)[1].split("-")[0] for p in paths) == ["lines", "places"]
+    assert found["p0"] == [("l0", 0.0)] and found["p12"] == [("l12", 0.006)] and len(found["p299"]) == 1
