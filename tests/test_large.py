@@ -9,7 +9,7 @@ from terrella.functions import util
 from terrella.operators import aggregate, etl, joins
 from terrella.plans.lines import nearest_lines
 from terrella.plans.written import scratch
-from terrella.sources import parsers
+from terrella.sources import parsers, writers
 
 from tests.test_skew import boxes
 from tests.test_spatial import points
@@ -163,3 +163,13 @@ def test_distance_matching_writes_no_cells(spark):
         found = {r.payload: [(m.payload, round(m.distance, 6)) for m in r.matches] for r in joins.match_distance(lines_of(spark, rows), dots, 2, 0.4, 0.0).collect()}
     assert sorted(p.rsplit("/", 1)[1].split("-")[0] for p in paths) == ["lines", "places"]
     assert found["p0"] == [("l0", 0.0)] and found["p12"] == [("l12", 0.006)] and len(found["p299"]) == 1
+
+
+def test_match_lines_writes_no_cells(spark):
+    """Lines of text of all points, matched or not, without a table of cells."""
+    rows = [[(0, 5), (1e7, 5)], [(0, 9), (1e7, 9)]]
+    dots = spark.createDataFrame([("a", [(3e6, 6.0)], False), ("b", [(3e6, 8.0)], False), ("c", [(3e6, 400.0)], False), ("d", [(None, 1.0)], False)], "payload string, coords array<struct<x:double,y:double>>, area boolean")
+    with scratch() as paths:
+        found = sorted(r.value for r in writers.match_lines(joins.match_distance(lines_of(spark, rows), dots, 3, 100.0)).collect())
+    assert found == ["a,l0,l1", "b,l1,l0", "c", "d"]
+    assert sum(spark.read.parquet(p).count() for p in paths) == 5  # two lines and three places
