@@ -132,7 +132,8 @@ _MATCH_LINES = LINE_MATCH.format(where="d2 <= 10000").replace("SELECT point, ran
 
 
 def _box_lines(t: Tables) -> DataFrame:
-    pairs = joins.range_join(t.customer(), t.boxes())
+    text = F.col("id").cast("string")  # once for a row, not for each of its pairs
+    pairs = joins.range_join(t.customer().withColumn("id", text), t.boxes().withColumn("id", text))
     cx, cy = G.Box.of("r_xmin", "r_ymin", "r_xmax", "r_ymax").centre()
     return writers.box_match_lines(pairs, F.col("l_id"), F.col("r_id"), G.distance("l_x", "l_y", cx, cy), 400.0)
 

@@ -9,6 +9,7 @@ from terrella.functions import util
 from terrella.operators import aggregate, etl, joins
 from terrella.plans.lines import nearest_lines
 from terrella.plans.written import scratch
+from terrella.queries import queries
 from terrella.sources import parsers, writers
 
 from tests.test_skew import boxes
@@ -173,3 +174,9 @@ def test_match_lines_writes_no_cells(spark):
         found = sorted(r.value for r in writers.match_lines(joins.match_distance(lines_of(spark, rows), dots, 3, 100.0)).collect())
     assert found == ["a,l0,l1", "b,l1,l0", "c", "d"]
     assert sum(spark.read.parquet(p).count() for p in paths) == 5  # two lines and three places
+
+
+def test_box_match_lines_writes_ids_before_the_join(spark):
+    """An id becomes text once for its row, not once for each of its pairs."""
+    plan = plan_of(queries()["box_match_lines"](spark, "/root/testdata/sf0.001"))
+    assert "Join" in plan and "cast(" not in plan[: plan.index("Join")]
