@@ -170,7 +170,8 @@ def knn_candidates(left: DataFrame, right: DataFrame, k: int, right_id: str = "r
     The leaves are counted, level by level, in the cells above them. A left cell takes the finest level at which the nine
     cells around it hold k rows: they all lie within 2 * sqrt(2) widths, so no candidate is further than three cells away. Running counts over the
     candidate leaves tighten that bound. Only cells, not rows, take part until the two final equi-joins. Of rows at one location in a full leaf the k least
-    ids take part. The driver sees extents, the levels in use and how many cells are heavy.
+    ids take part. The driver sees extents, the levels in use and how many cells are heavy. Rows with their cells, and cells with those above them, are many times the files that Spark
+    estimates sizes by, so only a counted table is ever a broadcast.
     """
     l, r = valid(left, "l_x", "l_y"), valid(right, "r_x", "r_y")
     e = r.agg(F.count("*"), F.min("r_x"), F.max("r_x"), F.min("r_y"), F.max("r_y")).first()
@@ -192,9 +193,9 @@ def knn_candidates(left: DataFrame, right: DataFrame, k: int, right_id: str = "r
         found = heavy.count()
         if not found:
             break
-        heavy = F.broadcast(heavy) if found * 32 <= 16 << 20 else heavy
+        heavy = F.broadcast(heavy) if found * 32 <= 16 << 20 else heavy.hint("merge")
         l, r = _deepened(l, "l", heavy), _deepened(r, "r", heavy)
-    spots = cells.where((F.col("rn") > full) & (wide == 0)).select(F.col("rlv").alias("slv"), F.col("rcx").alias("scx"), F.col("rcy").alias("scy"))
+    spots = cells.where((F.col("rn") > full) & (wide == 0)).select(F.col("rlv").alias("slv"), F.col("rcx").alias("scx"), F.col("rcy").alias("scy")).hint("merge")
     if not spots.isEmpty():  # the k least ids of each location that fills a leaf
         on = [F.col(f"r{c}") == F.col(f"s{c}") for c in ("lv", "cx", "cy")]
         first = F.row_number().over(Window.partitionBy("rlv", "rcx", "rcy").orderBy(right_id))
@@ -206,15 +207,15 @@ def knn_candidates(left: DataFrame, right: DataFrame, k: int, right_id: str = "r
     rstack, lstack = above(cells, "r"), above(lcells.select("llv", "lcx", "lcy"), "l")
     pyramid = rstack.groupBy("v", "px", "py").agg(F.sum("rn").alias("n"))
     around = lstack.select("v", F.col("px").alias("ox"), F.col("py").alias("oy")).distinct().withColumn("c", F.explode(neighbours(F.col("ox"), F.col("oy"))))
-    held = around.select("v", "ox", "oy", F.col("c.cx").alias("px"), F.col("c.cy").alias("py")).join(pyramid, ["v", "px", "py"]).groupBy("v", "ox", "oy").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
-    chosen = lstack.join(held.select("v", F.col("ox").alias("px"), F.col("oy").alias("py")), ["v", "px", "py"]).groupBy("llv", "lcx", "lcy").agg(F.max("v").alias("v"))
+    held = around.select("v", "ox", "oy", F.col("c.cx").alias("px"), F.col("c.cy").alias("py")).join(pyramid.hint("merge"), ["v", "px", "py"]).groupBy("v", "ox", "oy").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+    chosen = lstack.join(held.select("v", F.col("ox").alias("px"), F.col("oy").alias("py")).hint("merge"), ["v", "px", "py"]).groupBy("llv", "lcx", "lcy").agg(F.max("v").alias("v"))
     reach_of = F.pow(F.lit(2.0), -F.col("v").cast("double")) * (side * 2 * math.sqrt(2) * (1 + SLACK)) + side * 2.0**-50
-    placed = lcells.join(chosen, ["llv", "lcx", "lcy"], "left").withColumn("bound", F.when(F.col("v").isNull(), float("inf")).otherwise(reach_of)).withColumn("v", F.coalesce("v", F.lit(0)))
+    placed = lcells.join(chosen.hint("merge"), ["llv", "lcx", "lcy"], "left").withColumn("bound", F.when(F.col("v").isNull(), float("inf")).otherwise(reach_of)).withColumn("v", F.coalesce("v", F.lit(0)))
     placed = placed.withColumns({"ox": F.expr("shiftright(lcx, llv - v)"), "oy": F.expr("shiftright(lcy, llv - v)")})
-    below = placed.withColumn("c", F.explode(neighbours(F.col("ox"), F.col("oy"), 3))).withColumns({"px": F.col("c.cx"), "py": F.col("c.cy")}).drop("c").join(rstack, ["v", "px", "py"]).drop("v", "px", "py")
+    below = placed.withColumn("c", F.explode(neighbours(F.col("ox"), F.col("oy"), 3))).withColumns({"px": F.col("c.cx"), "py": F.col("c.cy")}).drop("c").join(rstack.hint("merge"), ["v", "px", "py"]).drop("v", "px", "py")
     wider = placed.withColumn("rlv", F.explode(F.filter(F.array(*map(F.lit, used)), lambda u: u < F.col("v"))))
     run = lambda c: F.explode(F.sequence(F.expr(f"shiftright(o{c} - 3, v - rlv)"), F.expr(f"shiftright(o{c} + 3, v - rlv)")))
-    over = wider.withColumn("rcx", run("x")).withColumn("rcy", run("y")).join(cells, ["rlv", "rcx", "rcy"]).drop("v")
+    over = wider.withColumn("rcx", run("x")).withColumn("rcy", run("y")).join(cells.hint("merge"), ["rlv", "rcx", "rcy"]).drop("v")
     both = below.select(*over.columns).unionByName(over) if len(used) > 1 else below
     a, b = Box.of("lminx", "lminy", "lmaxx", "lmaxy"), Box.of("rminx", "rminy", "rmaxx", "rmaxy")
     far_x, far_y = F.greatest(a.xmax - b.xmin, b.xmax - a.xmin), F.greatest(a.ymax - b.ymin, b.ymax - a.ymin)
@@ -223,9 +224,9 @@ def knn_candidates(left: DataFrame, right: DataFrame, k: int, right_id: str = "r
     order = mine.orderBy("hi", "rlv", "rcx", "rcy").rowsBetween(Window.unboundedPreceding, 0)
     pairs = pairs.withColumn("enough", F.sum("rn").over(order) >= k).withColumn("limit", F.min(F.when(F.col("enough"), F.col("hi"))).over(mine))
     pairs = pairs.where(F.col("limit").isNull() | (F.col("lo") <= F.col("limit") * (1 + SLACK))).select("llv", "lcx", "lcy", "rlv", "rcx", "rcy", "limit", "rminx", "rminy", "rmaxx", "rmaxy")
-    near = l.join(pairs, ["llv", "lcx", "lcy"]).where(F.col("limit").isNull() | (b.point_distance("l_x", "l_y") <= F.col("limit") * (1 + SLACK)))
+    near = l.join(pairs.hint("merge"), ["llv", "lcx", "lcy"]).where(F.col("limit").isNull() | (b.point_distance("l_x", "l_y") <= F.col("limit") * (1 + SLACK)))
     gone = ["llv", "lcx", "lcy", "rlv", "rcx", "rcy", "lix", "liy", "rix", "riy", "limit", "rminx", "rminy", "rmaxx", "rmaxy"]
-    return near.join(r, ["rlv", "rcx", "rcy"]).drop(*gone)
+    return near.join(r.hint("merge"), ["rlv", "rcx", "rcy"]).drop(*gone)
 
 
 def cuts_below(z: Column, cuts: list[int], before: int = 0) -> Column:

@@ -180,3 +180,12 @@ def test_box_match_lines_writes_ids_before_the_join(spark):
     """An id becomes text once for its row, not once for each of its pairs."""
     plan = plan_of(queries()["box_match_lines"](spark, "/root/testdata/sf0.001"))
     assert "Join" in plan and "cast(" not in plan[: plan.index("Join")]
+
+
+def test_knn_join_broadcasts_nothing_uncounted(spark, tmp_path):
+    """Rows and cells come from files that are far smaller than they are: none is a broadcast. (Sixteen rows make no heavy cells, which are counted.)"""
+    points(spark, [(i % 4, i // 4) for i in range(16)]).write.parquet(f"{tmp_path}/p")
+    df = spark.read.parquet(f"{tmp_path}/p")
+    found = joins.knn_join(df, df, 8)
+    assert "Broadcast" not in plan_of(found)
+    assert found.count() == 16 * 8
