@@ -3,10 +3,12 @@
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from terrella.functions import util
 from terrella.operators import aggregate, etl, joins
+from terrella.plans import lines as plan_lines
 from terrella.plans.lines import nearest_lines
 from terrella.plans.written import scratch
 from terrella.queries import queries
@@ -176,6 +178,46 @@ def test_match_lines_writes_no_cells(spark):
     assert sum(spark.read.parquet(p).count() for p in paths) == 5  # two lines and three places
 
 
+def test_places_of_unlike_distances(monkeypatch):
+    """Places in rows, in clusters and far from all lines, level and upright segments, ties: bands and tree find what brute force finds, and few pairs are worked out."""
+    rng = np.random.default_rng(16)
+    n, m, k = 3_000, 4_000, 3
+    x = np.concatenate([np.round(rng.uniform(-300, 1000, n), 2), 500 + rng.normal(size=n) * 0.01, [1e6, 5e8, 7.0]])
+    y = np.concatenate([rng.integers(0, 9, n) * 100.0, 500 + rng.normal(size=n), [3.0, -5e8, 7.0]])
+    ends = np.round(rng.uniform(0, 1000, (4, m)), 1)
+    ends[3, :200] = ends[1, :200] = rng.integers(0, 9, 200) * 100.0
+    ends[2, 200:300] = ends[0, 200:300]
+    ends[:, 300:330] = ends[:, 330:360]
+    ends[2:, 360:380] = ends[:2, 360:380]
+    line, rank = np.repeat(np.arange(m // 2), 2), rng.permutation(m // 2)
+    box = [f.reduceat(v, np.arange(0, m, 2)) + g for v, f, g in ((np.minimum(ends[0], ends[2]), np.minimum, -150), (np.minimum(ends[1], ends[3]), np.minimum, -150), (np.maximum(ends[0], ends[2]), np.maximum, 150), (np.maximum(ends[1], ends[3]), np.maximum, 150))]
+    worked, used, meet = [], set(), plan_lines._Segments.meet
+    monkeypatch.setattr(plan_lines._Segments, "meet", lambda self, s, *a: worked.append(len(s)) or meet(self, s, *a))
+    for kind in (plan_lines._Bands, plan_lines._Tree):
+        monkeypatch.setattr(kind, "met", lambda self, *a, kind=kind, met=kind.met: used.add(kind.__name__) or met(self, *a))
+    for limit in (np.inf, 30.0**2):
+        best = plan_lines._Places(x, y, k, limit)
+        best.take(*ends, line, rank, *box)
+        dx, dy = ends[2] - ends[0], ends[3] - ends[1]
+        for i in [*range(0, 2 * n, 97), 2 * n, 2 * n + 1, 2 * n + 2]:
+            long = np.where(dx * dx + dy * dy == 0, 1.0, dx * dx + dy * dy)
+            t = np.clip(((x[i] - ends[0]) * dx + (y[i] - ends[1]) * dy) / long, 0.0, 1.0)
+            d2 = np.minimum.reduceat((x[i] - ends[0] - t * dx) ** 2 + (y[i] - ends[1] - t * dy) ** 2, np.arange(0, m, 2))
+            held = (box[0] <= x[i]) & (x[i] <= box[2]) & (box[1] <= y[i]) & (y[i] <= box[3]) & (d2 <= limit)
+            want = sorted(zip(d2[held], rank[held]))[:k]
+            assert [(d, c) for d, c in zip(best.d2[i], best.code[i]) if np.isfinite(d)] == want
+    assert used == {"_Bands", "_Tree"}
+    assert sum(worked) < 2 * len(x) * m / 20
+
+
+def test_tasks_of_map_matching_are_spread(spark):
+    """Few tasks, each of a tile and a part: no two in one partition while others are empty."""
+    for tasks in (1, 3, 4, 7, 16):
+        keys = plan_lines._spread(spark, tasks)
+        at = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "task long").repartition(4, "task").select(F.spark_partition_id()).collect()]
+        assert len(set(keys)) == tasks and max(at.count(i) for i in range(4)) == -(-tasks // 4)
+
+
 def test_box_match_lines_writes_ids_before_the_join(spark):
     """An id becomes text once for its row, not once for each of its pairs."""
     plan = plan_of(queries()["box_match_lines"](spark, "/root/testdata/sf0.001"))
