@@ -168,6 +168,16 @@ def test_distance_matching_writes_no_cells(spark):
     assert found["p0"] == [("l0", 0.0)] and found["p12"] == [("l12", 0.006)] and len(found["p299"]) == 1
 
 
+def test_distance_matching_makes_no_more_parts_than_cores(spark, monkeypatch):
+    """Each part of the lines gives candidates for all places: there are as many as keep the cores busy, or as the lines' size asks for."""
+    tasks, spread = [], plan_lines._spread
+    monkeypatch.setattr(plan_lines, "_spread", lambda spark, n: tasks.append(n) or spread(spark, n))
+    rows = [[(0, i), (1e4, i + 0.5)] for i in range(20)]
+    dots = spark.createDataFrame([(f"p{i}", [(i * 1e2, float(i % 20))], False) for i in range(90)], "payload string, coords array<struct<x:double,y:double>>, area boolean")
+    found = {r.payload: [m.payload for m in r.matches] for r in joins.match_distance(lines_of(spark, rows), dots, 2, 0.4, 0.0).collect()}
+    assert len(found) == 90 and found["p0"] == ["l0"] and found["p21"] == ["l1"] and tasks == [spark.sparkContext.defaultParallelism]
+
+
 def test_match_lines_writes_no_cells(spark):
     """Lines of text of all points, matched or not, without a table of cells."""
     rows = [[(0, 5), (1e7, 5)], [(0, 9), (1e7, 9)]]
