@@ -1,4 +1,4 @@
-"""Nearest lines of places: tiles of places meet parts of the lines, and each pair is searched through a tree of the places."""
+"""Nearest lines of places: tiles of places meet parts of the lines, and each pair is searched through bands and a tree of the places."""
 
 from __future__ import annotations
 
