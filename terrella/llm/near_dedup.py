@@ -5,7 +5,8 @@ fingerprints within the radius meet in a bucket. A bucket is stored as vertical
 fingerprints to a word; one fingerprint is compared with 64 at a time by carry-save counters, and a
 block is abandoned once all its lanes are beyond the radius. A bucket over ``bucket_size`` is dealt
 again by the bits that it has not fixed. Buckets give spanning edges only; alternating star
-contraction, a written table each round, turns the edges into components.
+contraction, a written table each round, turns the edges into components, until those left are
+few enough for one task.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 
 from terrella.llm.store import save, ship, small
 
+#: Edges that one task turns into components, at most.
+FEW_EDGES = 1 << 18
+
 _LOW = np.array([(1 << k) - 1 for k in range(65)], np.uint64)
 
 
@@ -182,14 +186,32 @@ def links(distinct: DataFrame, radius: int = 2, bucket_size: int = 16_384, task_
     return light.repartition(n, "path", "key").select("path", "fp").mapInArrow(lambda it: _edges(it, known, radius), "a long, b long").distinct()
 
 
-def stars(edges: DataFrame) -> DataFrame:
-    """``node``, ``root`` of every node of the edges but the roots, which are the smallest of their components: alternating large and small stars."""
+def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node``, ``root`` of all edges ``u``, ``v`` in one task."""
+    table = pa.Table.from_batches(list(batches))
+    if not table.num_rows:
+        return
+    names, at = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
+    parent = np.arange(len(names))
+    _union(parent, *np.split(at, 2))
+    child = np.flatnonzero(parent != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays([pa.array(names[child]), pa.array(names[parent[child]])], names=["node", "root"])
+
+
+def stars(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """``node``, ``root`` of every node of the edges but the roots, which are the smallest of their components: alternating large and small stars, until one task takes the ``few`` edges left.
+
+    A round writes two tables, and each of their files costs an executor processes of its own, which weigh as much as its JVM while they start.
+    """
+    ship(edges.sparkSession)
     now = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"), "edges")
     mark = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == mark or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if state[0] <= few:
+            return now.coalesce(1).mapInArrow(_components, "node long, root long")
         mark = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -26,6 +26,7 @@ from terrella.llm import token_counts as C
 from terrella.llm.queries import RANKS, queries
 from terrella.llm.quality_classifier import quality_classifier
 from terrella.llm.sharding import kd_shards
+from terrella.plans.written import scratch
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path(RANKS)
@@ -146,6 +147,25 @@ def test_links_with_small_buckets(spark):
     assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
 
 
+def test_few_edges_become_components_in_one_task(spark):
+    """A chain, a star and small groups, of negative ids too: rounds of stars, both ways mixed and one task alone give the same; only rounds write tables of their own."""
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(-40, 40)] + [(1000, 900 + i) for i in range(50)] + [(10**18 + 2 * i, -(10**18) - i) for i in range(30)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame([e if rng.random() < 0.5 else e[::-1] for e in edges], "a long, b long")
+    want = {i: -40 for i in range(-39, 41)} | {i: 900 for i in [*range(901, 950), 1000]} | {10**18 + 2 * i: -(10**18) - i for i in range(30)}
+    for few, tables in ((0, {"edges", "large", "small"}), (150, {"edges", "large", "small"}), (len(edges), {"edges"})):
+        with scratch() as paths:
+            found = N.stars(df, few).collect()
+        assert {r.node: r.root for r in found} == want and len(found) == len(want)
+        assert {p.rsplit("/", 1)[1].split("-")[0] for p in paths} == tables
+    assert N.stars(df.limit(0)).count() == 0
+    texts = [(i, " ".join(f"w{j}" for j in range(i % 7 * 50, i % 7 * 50 + 200)) + f" {i // 7}") for i in range(70)]
+    with scratch() as paths:
+        assert N.near_dedup(spark.createDataFrame(texts, "doc_id long, text string"), radius=7).count() == 70
+    assert sorted(p.rsplit("/", 1)[1].split("-")[0] for p in paths) == ["distinct", "edges", "heavy", "simhash", "stars"]
+
+
 @pytest.fixture(scope="module")
 def encoder():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
