@@ -29,7 +29,7 @@ def nearest_lines(lines: DataFrame, places: DataFrame, k: int, error_range: floa
     spark, bits = lines.sparkSession, 20
     box = dict(zip(_BOUNDS, coords_box(F.col("coords"), error_range), strict=True))
     own = lines.select(F.col("payload").alias("l_payload"), F.col("coords.x").alias("xs"), F.col("coords.y").alias("ys"), *[c.alias(n) for n, c in box.items()])
-    own, places = written(own.where(finite(*_BOUNDS)), "lines"), written(places.select("px", "py").where(finite("px", "py")).distinct(), "places")
+    own, places = written(own.where(finite(*_BOUNDS)), "lines", freed=True), written(places.select("px", "py").where(finite("px", "py")).distinct(), "places", freed=True)
     e = places.agg(F.count("*"), F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
     coordinates = own.agg(F.sum(F.size("xs"))).first()[0] or 0
     schema = f"px double, py double, l_payload {dict(own.dtypes)['l_payload']}, d2 double"

@@ -11,6 +11,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark removes a query's shuffle files at the end of the query.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dirs: dict[str, str] = {}
 _swept: set[str] = set()
 _scopes: list[list[str]] = []
@@ -44,10 +47,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and survives a lost executor."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+def written(df: DataFrame, name: str, freed: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there and survives a lost executor. With ``freed`` the shuffle files of the write go with its end, not when the driver collects its garbage."""
+    path, conf = new_folder(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_FREED, "false")
+    conf.set(_FREED, "true" if freed else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_FREED, before)
     for scope in _scopes:
         scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

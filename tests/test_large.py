@@ -241,3 +241,26 @@ def test_knn_join_broadcasts_nothing_uncounted(spark, tmp_path):
     found = joins.knn_join(df, df, 8)
     assert "Broadcast" not in plan_of(found)
     assert found.count() == 16 * 8
+
+
+def test_written_lines_leave_no_shuffle_files(spark, monkeypatch):
+    """What gathered the lines is gone from the disk once they are written, however seldom the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    new, plain = [], plan_lines.written
+
+    def spied(*args, **named):
+        before, was = held(), spark.conf.get(key)
+        out = plain(*args, **named)
+        new.append(held() - before)
+        assert spark.conf.get(key) == was
+        return out
+
+    monkeypatch.setattr(plan_lines, "written", spied)
+    at = F.struct((F.col("id") % 7).cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    lines = spark.range(400).groupBy(F.concat(F.lit("l"), F.col("id") % 20).alias("payload")).agg(F.array_sort(F.collect_list(at)).alias("coords"))
+    places = spark.createDataFrame([(1.0, 2.0), (3.0, 50.0)], "px double, py double")
+    found = nearest_lines(lines, places, 2, 10.0, None).collect()
+    assert len(found) == 4 and new == [set(), set()]
+    spied(lines, "plain")
+    assert new[-1]  # without the word they stay for a plan that may use them again
